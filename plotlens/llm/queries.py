@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.llm import exact_dedup, simhash_dedup
+import corpus_pipeline
+from plotlens.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +19,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -34,13 +48,37 @@ SELECT doc_id,
 FROM t
 """
 
+OP6_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM counts) * 1.0::double / (SELECT count(*) FROM counts) / n AS mean FROM counts),
+steps AS (
+  SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS step
+  FROM (SELECT source, k, exp(-mean) * pow(mean, k) / gamma(k + 1) AS p FROM rates, range(0, 100) r(k))),
+drawn AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+         cast('0x' || substr(md5(d.doc_id || ':17:1'), 1, 13) AS ubigint) / pow(2, 52) AS u
+  FROM documents d),
+counted AS (
+  SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
+         any_value(d.n_chars) AS n_chars, count(*) AS n
+  FROM drawn d JOIN steps s ON s.source = d.source AND s.step < d.u GROUP BY d.doc_id)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::int AS copy FROM counted
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_bpe": op5_bpe,
+        "op6_mixing": op6_mixing,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_language_id": op8_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    sql = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
