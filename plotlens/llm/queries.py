@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plotlens.llm import bpe, exact_dedup, language_id, mixing, simhash_dedup
+from plotlens.llm import bpe, exact_dedup, fingerprints, language_id, mixing, pii, secrets, simhash_dedup, substring_dedup, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(_documents(spark, sf_dir))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir)).drop("repeats")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -35,6 +47,34 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(_documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, md5(array_to_string(words[start : start + 49], ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS start FROM split WHERE len(words) >= 50)),
+least AS (SELECT content, min(doc_id) AS low FROM windows GROUP BY content),
+covered AS (
+  SELECT w.doc_id, list(w.start ORDER BY w.start) AS starts
+  FROM windows w JOIN least l USING (content) WHERE l.low < w.doc_id GROUP BY w.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 50)) AS place FROM (SELECT doc_id, unnest(starts) AS start FROM covered)),
+places AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT s.doc_id, string_agg(s.word, ' ' ORDER BY s.place) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split) s
+  LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.place = s.place WHERE g.place IS NULL GROUP BY s.doc_id)
+SELECT s.doc_id, len(s.words)::bigint AS n_words, coalesce(len(p.places), 0)::bigint AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN places p USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -68,17 +108,22 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::int AS copy
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op2_pii": op2_pii,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_bpe": op5_bpe,
         "op6_mixing": op6_mixing,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_language_id": op8_language_id,
+        "op9_secrets": op9_secrets,
+        "op10_fingerprints": op10_fingerprints,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+    sql = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
