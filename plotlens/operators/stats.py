@@ -11,8 +11,9 @@ MAD_TO_SIGMA, OUTLIER_SIGMAS = 1.4826, 3.0
 
 def robust(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``(*keys, n, median, sigma)``: two exact passes, the second over distances from the joined median."""
-    first = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"))
-    far = df.where(F.col(value).isNotNull()).join(first, keys).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    df = df.where(F.col(value).isNotNull()).select(*keys, value)
+    first = df.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("median"))
+    far = df.join(first, keys).withColumn("off", F.abs(F.col(value) - F.col("median")))
     return far.groupBy(*keys, "n", "median").agg((F.median("off") * MAD_TO_SIGMA).alias("sigma"))
 
 

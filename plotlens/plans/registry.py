@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.plans import market
+from plotlens.plans import market, valuation
 
-MODULES = [market]
+MODULES = [market, valuation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,8 +14,9 @@ AS_OF = "2001-11-04"
 TX = """
 SELECT concat_ws('-', cast(l.l_orderkey AS string), cast(l.l_linenumber AS string), cast(l.l_partkey AS string),
                  cast(l.l_suppkey AS string)) AS tx_id,
-       concat('22', lpad(cast(n.n_regionkey + 1 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'), '_1.',
-              lpad(cast(c.c_custkey % 40 AS string), 4, '0'), '.', cast(l.l_partkey AS string)) AS parcel_id,
+       concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'),
+              lpad(cast(c.c_custkey % 8 + 1 AS string), 2, '0'), '_1.', lpad(cast(c.c_custkey % 40 AS string), 4, '0'), '.',
+              cast(l.l_partkey AS string)) AS parcel_id,
        cast(l.l_shipdate AS date) AS sale_date,
        cast(floor(l.l_extendedprice * 100) AS bigint) AS price_grosze,
        cast(l.l_quantity * 100 AS int) AS area_m2,
@@ -42,7 +43,8 @@ SELECT o.o_orderkey AS offer_id,
        cast(floor(o.o_totalprice * 10) AS bigint) AS price_grosze,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE cast(300 + (o.o_orderkey * 37) % 2700 AS int) END AS area_m2,
        cast(o.o_orderdate AS date) AS first_seen,
-       concat('22', lpad(cast(n.n_regionkey + 1 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'), '1') AS municipality,
+       concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'),
+              lpad(cast(c.c_custkey % 8 + 1 AS string), 2, '0'), '1') AS municipality,
        CASE c.c_mktsegment WHEN 'BUILDING' THEN 'dzialka budowlana' WHEN 'FURNITURE' THEN 'teren pod uslugi'
             WHEN 'HOUSEHOLD' THEN 'las i laka' WHEN 'MACHINERY' THEN 'teren przemyslowy' ELSE 'grunt rolny' END AS purpose,
        cast((c.c_custkey * 7919) % 100000 + o.o_orderkey % 3 * 20 AS double) AS e,
@@ -86,6 +88,21 @@ SELECT p_partkey AS offer_id,
 FROM {part}
 """
 
+TARGETS = """
+SELECT s_suppkey AS target_id,
+       concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'),
+              lpad(cast(s.s_suppkey % 8 + 1 AS string), 2, '0'), '_1.', lpad(cast(s.s_suppkey % 40 AS string), 4, '0'), '.',
+              cast(s.s_suppkey AS string)) AS parcel_id,
+       cast(500 + (s.s_suppkey * 97) % 3500 AS double) AS area_m2,
+       cast((s.s_suppkey * 7919) % 100000 AS double) AS e,
+       cast((s.s_suppkey * 104729) % 100000 AS double) AS n,
+       CASE s.s_suppkey % 5 WHEN 0 THEN 'mieszkaniowa_jednorodzinna' WHEN 1 THEN 'rolna' WHEN 2 THEN 'budowlana_wz' WHEN 3 THEN 'lesna'
+            ELSE 'uslugowa_produkcyjna' END AS segment,
+       DATE '2001-11-04' AS as_of,
+       cast(floor(abs(s.s_acctbal) * 1000) AS bigint) AS asking_grosze
+FROM {supplier} s JOIN {nation} n ON n.n_nationkey = s.s_nationkey
+"""
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -111,6 +128,10 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PLOTS)
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, TARGETS)
+
+
 def plain(sql: str) -> str:
     """The view for an engine that has the tables under their own names."""
     return sql.format(**{t: t for t in TABLES})
