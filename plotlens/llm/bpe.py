@@ -2,10 +2,10 @@
 
 The fold is a column expression: a word's bytes (as hex digit pairs) are an array, each step looks
 every adjacent pair up in the rank map, a literal dealt into buckets, and joins the leftmost pair
-of the lowest rank. It runs on distinct words: those most frequent in the corpus, up to a bound,
-are folded once and sent to the tasks as a dictionary; the words of a document that the dictionary
-lacks are folded in that document's row, so no row of words is shuffled back to its document.
-Pieces over ``LONG_PIECE`` bytes, where a fold would take quadratic time, are merged with a heap.
+of the lowest rank. It runs on the distinct words that are most frequent in the corpus, up to a
+bound: they are folded once and sent to the tasks as a dictionary, so that no row of words is
+shuffled back to its document. The few words of a document that the dictionary lacks are merged
+where they occur, long ones with a heap; folding them in every document's row took twice the time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -42,8 +44,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def rank_buckets(ranks: dict[bytes, int]) -> Column:
     """The rank map as a literal ``array<map<string,int>>``: hex digits to rank, by bucket."""
-    import zlib
-
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         digits = piece.hex()
@@ -114,6 +114,29 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def merge_word(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one short piece, with the same steps as ``fold_word``."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    find, none = ranks.get, len(ranks) + 1
+    found = [find(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while found and (low := min(found)) < none:
+        i = found.index(low)
+        parts[i] += parts.pop(i + 1)
+        del found[i]
+        if i:
+            found[i - 1] = find(parts[i - 1] + parts[i], none)
+        if i < len(found):
+            found[i] = find(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def _merged(piece: bytes, ranks: dict[bytes, int]) -> bytes:
+    ids = merge_long(piece, ranks) if len(piece) > LONG_PIECE else merge_word(piece, ranks)
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def frequent_words(rows: DataFrame, pattern: str, limit: int = DICT_WORDS) -> DataFrame:
     """The most frequent matches of ``pattern`` in all texts, ``limit`` at most.
 
@@ -162,53 +185,20 @@ def encode(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank_of = held.value
         find, split = known.get, regex.compile(pattern).findall
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                runs, lacking = [], []
-                for text in batch.column(1).to_pylist():
-                    run, runs_of, lacks = [], [], []
-                    for word in split(text or ""):
-                        ids = find(word)
-                        if ids is None:
-                            piece = word.encode()
-                            if len(piece) > LONG_PIECE:
-                                ids = b"".join(i.to_bytes(4, "little") for i in merge_long(piece, rank_of))
-                            else:
-                                runs_of.append(b"".join(run))
-                                lacks.append(piece.hex())
-                                run = []
-                                continue
-                        run.append(ids)
-                    runs_of.append(b"".join(run))
-                    runs.append(runs_of)
-                    lacking.append(lacks)
-                yield pa.record_batch(
-                    [batch.column(0), pa.array(runs, pa.list_(pa.binary())), pa.array(lacking, pa.list_(pa.string()))],
-                    names=["id", "runs", "lacking"],
-                )
-
-    found = rows.mapInArrow(look_up, f"id {kind}, runs array<binary>, lacking array<string>")
-    folded = _let(rank_buckets(ranks), lambda buckets: F.transform("lacking", lambda w: _little(fold_word(w, buckets))))
-    found = found.select("id", "runs", folded.alias("folded"))
-    pieces = rows.sparkSession.sparkContext.broadcast({i: p for p, i in ranks.items()})
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {i: p for p, i in rank_of.items()} if decoded else {}
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 ids = []
-                for runs, folded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    parts = [runs[0]]
-                    for word, run in zip(folded, runs[1:], strict=True):
-                        parts += (word, run)
-                    ids.append(b"".join(parts))
+                for text in batch.column(1):
+                    found = split(text.as_py() or "")
+                    ids.append(b"".join([find(w) or _merged(w.encode(), rank_of) for w in found]))
                 columns = [batch.column(0), pa.array(ids, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([_decode(i, pieces.value) for i in ids], pa.binary()))
+                    columns.append(pa.array([_decode(i, pieces) for i in ids], pa.binary()))
                 yield pa.record_batch(columns, names=["id", "ids", "decoded"][: len(columns)])
 
-    return found.mapInArrow(put_together, f"id {kind}, ids binary" + ", decoded binary" * decoded)
+    return rows.mapInArrow(look_up, f"id {kind}, ids binary" + ", decoded binary" * decoded)
 
 
 def _decode(ids: bytes, pieces: dict[int, bytes]) -> bytes:
