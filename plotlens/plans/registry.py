@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.plans import market, valuation
+from plotlens.plans import duplicates, market, scoring, valuation
 
-MODULES = [market, valuation]
+MODULES = [market, valuation, scoring, duplicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
