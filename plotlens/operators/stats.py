@@ -50,10 +50,15 @@ def average_rank(column: str, keys: list[str] | None = None) -> Column:
     return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation; null where a side is constant, which ``corr`` divides by in ANSI mode."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, name: str = "rho") -> DataFrame:
     """The rank correlation of each group; NaN where a side is constant."""
     ranked = df.withColumn("__x", average_rank(x, keys)).withColumn("__y", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.coalesce(F.corr("__x", "__y"), F.lit(float("nan"))).alias(name))
+    return ranked.groupBy(*keys).agg(F.coalesce(correlation("__x", "__y"), F.lit(float("nan"))).alias(name))
 
 
 def slope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotlens.functions import codes, price
-from plotlens.operators import grid
+from plotlens.operators import grid, stats
 from plotlens.operators import valuation as v
 from plotlens.plans.market import _first
 from plotlens.plans.views import OFFERS, TARGETS, TX, offers, plain, targets, transactions
@@ -94,7 +94,7 @@ def normalisation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = _sales(spark, sf_dir)
     slopes = v.fitted_slopes(sales).select(F.col("segment").alias("tx_segment"), F.col("slope"))
     rows = sales.join(slopes, "tx_segment").withColumn("norm", price.normalised(F.col("tx_price_m2"), F.col("tx_area"), F.col("slope")))
-    out = rows.groupBy("tx_segment").agg(F.corr(F.log("tx_area"), F.log("tx_price_m2")).alias("before"), F.corr(F.log("tx_area"), F.log("norm")).alias("after"))
+    out = rows.groupBy("tx_segment").agg(stats.correlation(F.log("tx_area"), F.log("tx_price_m2")).alias("before"), stats.correlation(F.log("tx_area"), F.log("norm")).alias("after"))
     return out.select("tx_segment", F.round("before", 7).alias("before"), (F.round("after", 7) + 0).alias("after"), (F.abs("after") <= 0.10).alias("passes"))
 
 
