@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.plans import duplicates, market, scoring, surfaces, valuation
+from plotlens.plans import duplicates, market, scoring, streams, surfaces, valuation
 
-MODULES = [market, valuation, scoring, duplicates, surfaces]
+MODULES = [market, valuation, scoring, duplicates, surfaces, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
