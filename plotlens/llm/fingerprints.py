@@ -145,8 +145,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of_next = prints.select(F.col("doc").alias("next_doc"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
     out = after.select("doc", "h", "next_doc", "next_h").join(prints, ["doc", "h"]).hint("merge").join(of_next, ["next_doc", "next_h"])
     near = staged(near, "near-counts")
-    out = out.withColumn("asked", F.when(F.col("doc") % every == 0, F.col("fp"))).hint("merge").join(near.select(F.col("fp").alias("asked"), "n_near"), "asked", "left")
-    out = staged(out.drop("next_doc", "next_h", "asked"), "document-fingerprints")
+    out = out.hint("merge").join(near, "fp", "left")  # by fingerprint: a null key for all that don't ask would be one task
+    out = out.withColumn("n_near", F.when(F.col("doc") % every == 0, F.col("n_near")))
+    out = staged(out.drop("next_doc", "next_h"), "document-fingerprints")
     text = lambda fp: F.lower(F.lpad(F.hex(fp), 16, "0"))
     return light.hint("merge").join(out, ["doc", "h"]).select(
         F.when(F.col("doc") != null, F.col("doc")).alias(id_col), "n_chars", "edited_sha256",
