@@ -3,7 +3,8 @@
 Candidates of every text are the base spans (assignments, access keys, long hex strings) and
 provider tokens, JSON web tokens, private keys and passwords in URLs. The hash of each candidate's
 value is counted over distinct repositories and owners of the whole corpus: a value that many owners
-hold is a copied example, one that a single owner holds and that looks random is taken for live.
+hold is a copied example, one that a single owner holds and that looks random is taken for live, in
+however many repositories it occurs.
 Base spans always stay; of the others those are added that look live.
 """
 
@@ -23,8 +24,8 @@ from plotlens.llm.text import input_rows
 from plotlens.session import staged
 
 KINDS = ("assign", "access", "hex")
-#: Owners and repositories from which on a value counts as widely copied.
-COPIED_OWNERS, COPIED_REPOS = 3, 25
+#: Owners from which on a value counts as widely copied.
+COPIED_OWNERS = 3
 #: Bits of entropy a character from which on a value looks random.
 RANDOM_BITS = 2.5
 #: Parts of values that are placeholders.
@@ -98,7 +99,7 @@ def ownership(found: DataFrame) -> DataFrame:
     pairs = held.groupBy("hash", "random", "owner", "repo").agg(F.lit(1).alias("one"))
     owners = pairs.groupBy("hash", "random", "owner").agg(F.sum("one").alias("repos"))
     values = owners.groupBy("hash", "random").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS) | ~F.col("random")
+    copied = (F.col("owners") >= COPIED_OWNERS) | ~F.col("random")
     return values.select("hash", "owners", "repos", F.when(copied, "example").otherwise(F.when(F.col("owners") == 1, "live").otherwise("shared")).alias("class"))
 
 
