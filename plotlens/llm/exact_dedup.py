@@ -3,15 +3,16 @@
 Texts are equal when identical without the white space ``[\\x20\\x09-\\x0D]``; a null text
 counts as empty. Of equal texts of a batch the one with the most code points in the original
 text stays, then the smallest id; a null id is larger than any other. Rows repeated in full are
-told apart by a row number that is given once, when the digests are staged. A text whose digest
-the index holds already is a copy of the indexed row. An empty table gives an empty result.
+told apart by a row number that is given once, when the digests are staged. In a later batch of
+an index that is kept, a text whose digest it holds already is a copy of the indexed row. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotlens.llm.text import input_rows, without_spaces
@@ -33,62 +34,109 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return staged(rows, "digests")
 
 
+def _best(row: str, id_: str, n: str) -> Column:
+    """The ``(row, id)`` of the row that stays: most code points, then smallest id, then smallest row."""
+    return F.max_by(F.struct(F.col(row).alias("row"), F.col(id_).alias("id")), F.struct(F.col(n), F.col(id_).isNotNull(), -F.col(id_), -F.col(row)))
+
+
 class DigestIndex:
-    """A table ``(digest, id, n, copies)``, bucketed and sorted by digest, that only grows.
+    """A table ``(digest, row, id, n, copies)``, bucketed and sorted by digest, that only grows.
 
     ``add`` reads a batch once, keeps of each digest the best row of the batch, drops by a
-    sort-merge anti-join what the index holds and appends the rest.
+    sort-merge anti-join what the index holds and appends the rest. Of the digests that were held
+    already, the best row and the count of the batch go to a second table of the same form, so
+    both tables together have the counts of all batches and the best row of each.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
-
-    def _exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        self.later = f"{self.table}_later"
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        dealt = rows.select("digest", "row", "id", "n", "copies").repartition(self.buckets, "digest")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+
+    def _later(self) -> DataFrame | None:
+        return self.spark.table(self.later) if self.spark.catalog.tableExists(self.later) else None
+
+    def _held(self) -> DataFrame:
+        """``(digest, held_id, held)``: the indexed id of each digest and the copies of all batches so far."""
+        held = self.spark.table(self.table).select("digest", F.col("id").alias("held_id"), F.col("copies").alias("held"))
+        later = self._later()
+        if later is None:
+            return held
+        more = later.groupBy("digest").agg(F.sum("copies").alias("more"))
+        return held.join(more, "digest", "left").select("digest", "held_id", (F.col("held") + F.coalesce("more", F.lit(0))).alias("held"))
+
+    def _update(self, rows: DataFrame) -> DataFrame:
+        """Take up a batch; return ``(digest, row, id, n, copies, held_id, held)`` of its digests, staged."""
+        best = rows.groupBy("digest").agg(_best("row", "id", "n").alias("best"), F.count("*").alias("copies"), F.max("n").alias("n"))
+        best = staged(best.select("digest", "best.row", "best.id", "n", "copies"), "digest-groups")
+        if not self.spark.catalog.tableExists(self.table):
+            self._append(best, self.table)
+            return best.select("*", F.lit(None).cast("bigint").alias("held_id"), F.lit(None).cast("bigint").alias("held"))
+        fresh = staged(best.hint("merge").join(self.spark.table(self.table), "digest", "left_anti"), "digest-fresh")
+        best = staged(best.join(self._held(), "digest", "left"), "digest-decisions")
+        self._append(fresh, self.table)
+        self._append(best.where(F.col("held").isNotNull()), self.later)
+        return best
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Add the ``digests`` of a batch; return ``(row, id, n, digest, keep_id, group_size, kept)``.
 
-        The group is formed by a map-side combine, so a digest that a third of the rows share
-        reaches the shuffle once for each task. ``group_size`` counts the rows of this batch and
-        those that the index had counted when the digest was appended. The last join has a plain
-        exchange on either side, so that AQE can split a hot digest.
+        What an earlier batch kept stays kept. The group is formed by a map-side combine, so a
+        digest that a third of the rows share reaches the shuffle once for each task.
+        ``group_size`` counts the rows of this batch and of all before it. The last join has a
+        plain exchange on either side, so that AQE can split a hot digest.
         """
-        order = F.struct(F.col("n"), -F.col("row"))
-        best = rows.groupBy("digest").agg(
-            F.max_by(F.struct("row", "id"), F.struct("n", F.col("id").isNotNull(), -F.col("id"), order["col2"])).alias("best"),
-            F.count("*").alias("copies"),
-            F.max("n").alias("n"),
-        )
-        best = staged(best.select("digest", "best.row", "best.id", "n", "copies"), "digest-groups")
-        fresh = best
-        held = None
-        if self._exists():
-            held = self.spark.table(self.table).select("digest", F.col("id").alias("held_id"), F.col("copies").alias("held"))
-            fresh = best.hint("merge").join(held, "digest", "left_anti")
-        fresh = fresh.select("digest", "id", "n", "copies").repartition(self.buckets, "digest")
-        if held is not None:
-            fresh = staged(fresh, "digest-fresh").repartition(self.buckets, "digest")
-            best = staged(best.join(held, "digest", "left"), "digest-decisions")
-        else:
-            best = best.select("*", F.lit(None).cast("bigint").alias("held_id"), F.lit(None).cast("bigint").alias("held"))
-        fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
-        of = best.select(
+        of = self._update(rows).select(
             "digest",
             F.when(F.col("held").isNull(), F.col("row")).alias("keep_row"),
             F.when(F.col("held").isNull(), F.col("id")).otherwise(F.col("held_id")).alias("keep_id"),
             (F.col("copies") + F.coalesce("held", F.lit(0))).alias("group_size"),
         )
-        return rows.hint("merge").join(of, "digest").select(
-            "row", "id", "n", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
-        )
+        return _decided(rows, of)
+
+    def add_all(self, batches: list[DataFrame]) -> None:
+        """Add batches of one ``digests`` table, whose rows ``decide`` is asked for afterwards."""
+        for batch in batches:
+            self._update(batch)
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """The columns of ``add`` for rows of all batches, by the best row of each digest in any batch.
+
+        Row numbers must come from one ``digests`` table.
+        """
+        known = self.spark.table(self.table)
+        later = self._later()
+        if later is not None:
+            known = known.unionByName(later)
+        known = known.repartition("digest")  # the union of two bucketed tables is not dealt by digest, though Spark groups it as if it were
+        of = known.groupBy("digest").agg(_best("row", "id", "n").alias("best"), F.sum("copies").alias("group_size"))
+        of = staged(of.select("digest", F.col("best.row").alias("keep_row"), F.col("best.id").alias("keep_id"), "group_size"), "digest-winners")
+        return _decided(rows, of)
+
+
+def _decided(rows: DataFrame, of: DataFrame) -> DataFrame:
+    return rows.hint("merge").join(of, "digest").select(
+        "row", "id", "n", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
+    )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """A row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
-    index = index or DigestIndex(docs.sparkSession)
-    out = index.add(digests(docs, id_col, text_col))
+    """A row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+
+    With an ``index``, the documents are one more batch of it. Without, every other row goes to a
+    new index first and the rest by anti-join afterwards, and the index decides on all of them.
+    """
+    rows = digests(docs, id_col, text_col)
+    if index:
+        out = index.add(rows)
+    else:
+        index = DigestIndex(docs.sparkSession)
+        index.add_all([rows.where(F.col("row") % 2 == b) for b in (0, 1)])
+        out = index.decide(rows)
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
