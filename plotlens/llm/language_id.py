@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotlens.llm.text import input_rows
+from plotlens.session import staged
 
 #: Slots of each of the two n-gram tables; they bound the model to 2 * SLOTS numbers a language.
 SLOTS = 1 << 15
@@ -240,7 +241,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """The rows whose text has a language that holds at least the share ``least`` of its letters."""
-    good = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    good = good.select(F.col(id_col).alias("__good")).distinct()
-    return docs.hint("merge").join(good, F.col(f"`{id_col}`").eqNullSafe(F.col("__good")), "left_semi")
+    """The rows whose text has a language that holds at least the share ``least`` of its letters.
+
+    Rows are told apart by a number that is staged with them, so one id may have several texts.
+    """
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    model = train(input_rows(numbered.where(~held_out(id_col)), id=id_col, text=text_col, lang=lang_col))
+    good = predict(numbered, model, "__row", text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return numbered.hint("merge").join(good.select(F.col("id").alias("__row")), "__row", "left_semi").drop("__row")

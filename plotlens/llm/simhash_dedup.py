@@ -191,6 +191,13 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
     return dealt.mapInArrow(lambda batches: _bucket_edges(batches, masks, radius), "a bigint, b bigint")
 
 
+def fingerprint_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``distinct`` fingerprints ``fp`` with the ``root`` of the group that each of them links to."""
+    roots = connected_components(near_edges(distinct, radius))
+    joined = distinct.join(roots, F.col("fp") == F.col("node"), "left")
+    return joined.select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """A row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -201,8 +208,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(near_edges(distinct, radius))
-    joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = fingerprint_roots(distinct, radius)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = staged(joined.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return rows.hint("merge").join(of, "fp").select(
@@ -211,7 +217,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, and rows without an id."""
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of each group: that of the smallest id; of several rows of that id, or of null ids only, one of them.
+
+    Rows are told apart by a number that is staged with them, so one id may have several texts.
+    """
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    rows = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"))
+    rows = rows.join(fingerprints(numbered, "__row", text_col).withColumnRenamed("id", "__row"), "__row")
+    rows = staged(rows, "fingerprints")
+    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    distinct = staged(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    kept = fingerprint_roots(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return numbered.hint("merge").join(staged(kept, "kept-rows"), "__row", "left_semi").drop("__row")
