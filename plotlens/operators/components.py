@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlens.session import staged
+from plotlens.session import drop_staged, staged
 
 MAX_ROUNDS = 60
 
 
-def _star(pairs: DataFrame, low: str) -> DataFrame:
-    """Link the neighbours ``v`` of each ``u`` to the smallest of them and ``u``.
+def _star(pairs: DataFrame, low: str) -> tuple[DataFrame, DataFrame]:
+    """Link the neighbours ``v`` of each ``u`` to the smallest of them and ``u``; and the table of minima.
 
-    ``low`` names the table of minima, which is staged so that the join below it stands
-    between two plain exchanges and a hub's rows can be split.
+    The minima are staged under the name ``low``, so that the join below stands between two plain
+    exchanges and a hub's rows can be split.
     """
     least = staged(pairs.groupBy("u").agg(F.min("v").alias("m")), low)
-    return pairs.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
+    return pairs.join(least, "u").select("u", "v", F.least("m", "u").alias("m")), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,11 +41,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = mark(now)
     for _ in range(MAX_ROUNDS):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, low = _star(both, "large")
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u <> v").distinct(), "large-edges")
-        small = _star(large, "small")
+        drop_staged(now, low)
+        small, low = _star(large, "small")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         now = staged(small.where("u <> v").distinct(), "small-edges")
+        drop_staged(large, low)
         after = mark(now)
         if after == before:
             break

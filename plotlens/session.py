@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, app: str = "plotlens") -> SparkSession:
     """A session for tests and benches on one machine; a cluster brings its own."""
@@ -28,13 +31,15 @@ def local_session(cores: int | str = 8, app: str = "plotlens") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only a session on one machine may have none; it gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plotlens-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -44,9 +49,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs only the tasks that read it, and what stands
-    above has plain exchanges on both sides of its joins, which AQE can split when skewed.
+    above has plain exchanges on both sides of its joins, which AQE can split when skewed. The
+    shuffle files of the write go as soon as it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/plotlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` returned and that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
