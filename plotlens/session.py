@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "plotlens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "8g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="plotlens-warehouse-"))
         .getOrCreate()
