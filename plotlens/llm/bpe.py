@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotlens.llm.text import input_rows
+from plotlens.llm.text import input_rows, parts
 from plotlens.session import staged
 
 #: Words of the dictionary at most, each of ``DICT_BYTES`` bytes at most: under 40 MB in all.
@@ -32,8 +32,8 @@ DICT_WORDS, DICT_BYTES = 1 << 19, 64
 LONG_PIECE = 256
 #: Buckets of the rank map, by the CRC-32 of a piece's hex digits.
 BUCKETS = 1 << 16
-#: Documents that a task holds as Python strings at once.
-SLICE = 256
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -187,8 +187,7 @@ def encode(
         find, split = known.get, regex.compile(pattern).findall
         pieces = {i: p for p, i in rank_of.items()} if decoded else {}
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in parts(whole, 1, SLICE):
                 ids = []
                 for text in batch.column(1):
                     found = split(text.as_py() or "")

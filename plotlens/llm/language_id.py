@@ -18,19 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlens.llm.text import input_rows
-from plotlens.session import staged
+from plotlens.llm.text import input_rows, parts
 
 #: Slots of each of the two n-gram tables; they bound the model to 2 * SLOTS numbers a language.
 SLOTS = 1 << 15
 #: Labelled documents of each language that the model is fitted on, about; a documented bound.
 TRAIN_DOCS = 5_000
+#: Languages of a model at most, which bounds what is sent to the tasks; more are an error.
+LANGUAGES = 512
 #: The cost of a switch of language between two words, in nats.
 SWITCH = 8.0
 #: A language uses a script if that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Letters scored at once, and word scores (words times languages) held at once.
-LETTERS, CELLS = 1 << 20, 1 << 23
+LETTERS, CELLS = 1 << 18, 1 << 21
 #: First and last code points of the scripts that are told apart; others are script 0.
 SCRIPTS = (
     (0x0041, 0x024F), (0x1E00, 0x1EFF), (0x0370, 0x03FF), (0x1F00, 0x1FFF), (0x0400, 0x052F), (0x0530, 0x058F),
@@ -84,6 +85,8 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> dict:
     labelled = labelled.where("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).collect()}
     langs = sorted(counts)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages, {LANGUAGES} at most")
     if not langs:
         return {"langs": []}
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))])
@@ -206,13 +209,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 4 * CELLS // max(1, len(held.value["langs"]))
         for batch in batches:
-            most = CELLS // max(1, len(held.value["langs"]))
-            sizes = np.cumsum(batch.column(1).cast(pa.large_string()).to_pandas().str.len().fillna(0).to_numpy())
-            at = 0
-            while at < batch.num_rows:  # documents of so many letters in all at once; one at least
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * most)))
-                part = batch.slice(at, to - at)
+            for part in parts(batch, 1, most):
                 found = label_texts(part.column(1).to_pylist(), held.value)
                 yield pa.record_batch(
                     [
@@ -223,7 +222,6 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     ],
                     names=["id", "lang_pred", "score", "spans"],
                 )
-                at = to
 
     return rows.mapInArrow(each, f"id {kind}, lang_pred string, score double, spans string")
 
@@ -234,7 +232,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: its id, ``held_out``, ``lang_pred``, ``score`` and ``spans``."""
+    """A row per document: its id, ``held_out``, ``lang_pred``, ``score`` and ``spans``.
+
+    Repeated rows give repeated results and an empty table an empty one; a label that is null is
+    not learned from. Of languages with equally many letters the first by name is predicted. A very
+    long text is labelled whole, alone in its part of a batch.
+    """
     model = train(input_rows(docs.where(~held_out(id_col)), id=id_col, text=text_col, lang=lang_col))
     out = predict(docs, model, id_col, text_col)
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score", "spans")
@@ -243,9 +246,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows whose text has a language that holds at least the share ``least`` of its letters.
 
-    Rows are told apart by a number that is staged with them, so one id may have several texts.
+    Each row is decided on by its own text where it is read, so nothing is shuffled but the n-gram
+    counts, and one id may have several texts. Null texts and texts without letters go; an empty
+    table stays empty.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
-    model = train(input_rows(numbered.where(~held_out(id_col)), id=id_col, text=text_col, lang=lang_col))
-    good = predict(numbered, model, "__row", text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return numbered.hint("merge").join(good.select(F.col("id").alias("__row")), "__row", "left_semi").drop("__row")
+    model = train(input_rows(docs.where(~held_out(id_col)), id=id_col, text=text_col, lang=lang_col))
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 4 * CELLS // max(1, len(held.value["langs"]))
+        for batch in batches:
+            for part in parts(batch, place, most):
+                found = label_texts(part.column(place).to_pylist(), held.value)
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found]))
+
+    return docs.mapInArrow(each, docs.schema)
