@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotlens.llm.text import input_rows, without_spaces
 from plotlens.session import staged
 
-#: Buckets of the index table; a production index takes about one for each GB of digests.
-BUCKETS = 16
+#: Buckets of an index at least, and the digests that a bucket of a new one is meant for: about a GB.
+BUCKETS, BUCKET_DIGESTS = 16, 16_000_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,6 +98,11 @@ class DigestIndex:
         )
         return _decided(rows, of)
 
+    def drop(self) -> None:
+        """Delete the tables; what ``decide`` returned does not read them."""
+        for table in (self.table, self.later):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def add_all(self, batches: list[DataFrame]) -> None:
         """Add batches of one ``digests`` table, whose rows ``decide`` is asked for afterwards."""
         for batch in batches:
@@ -128,15 +133,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     With an ``index``, the documents are one more batch of it. Without, every other row goes to a
-    new index first and the rest by anti-join afterwards, and the index decides on all of them.
+    new index first and the rest by anti-join afterwards, the index decides on all of them and is
+    dropped. Null texts are empty ones, ties go to the smallest id, a null id is larger than any
+    other, and an empty table gives an empty result.
     """
     rows = digests(docs, id_col, text_col)
     if index:
         out = index.add(rows)
     else:
-        index = DigestIndex(docs.sparkSession)
+        index = DigestIndex(docs.sparkSession, buckets=max(BUCKETS, rows.count() // BUCKET_DIGESTS))
         index.add_all([rows.where(F.col("row") % 2 == b) for b in (0, 1)])
         out = index.decide(rows)
+        index.drop()
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
@@ -145,18 +153,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns.
 
-    The kept ``(id, digest)`` pairs are unique, so they select the rows by a semi-join; where a
-    row is repeated in full, one of the repeats is taken.
+    A key of id and digest selects the rows; where it occurs again, by rows repeated in full or by
+    texts of one id that differ in white space, the longest is taken. The join and the choice are
+    dealt by that key, so the texts are shuffled once.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__digest", F.unhex(F.sha2(without_spaces(F.col(f"`{text_col}`")), 256)))
+    key = lambda digest: F.concat(F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("")), digest)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("text_sha256")).alias("__key"))
+    rows = docs.withColumn("__key", key(F.sha2(without_spaces(F.col(f"`{text_col}`")), 256)))
     rows = rows.withColumn("__n", F.coalesce(F.char_length(f"`{text_col}`"), F.lit(0)))
-    rows = rows.hint("merge").join(
-        kept.withColumnRenamed("__digest", "__kept"),
-        F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")),
-        "left_semi",
-    )
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(F.col(f"`{id_col}`"), "__digest").orderBy(F.col("__n").desc())
-    return rows.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = Window.partitionBy("__key").orderBy(F.col("__n").desc())
+    rows = rows.hint("merge").join(kept, "__key", "left_semi").withColumn("__rank", F.row_number().over(first))
+    return rows.where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

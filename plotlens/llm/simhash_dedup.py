@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plotlens.llm.text import input_rows, map_batches, words
 from plotlens.operators.components import connected_components
@@ -52,13 +53,16 @@ def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    fp = np.fromiter((fingerprint(t.as_py()) for t in texts.cast(pa.large_binary())), np.uint64, len(texts))
+    return pa.array(fp.view(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` of every row; null texts count as empty. ``fp`` holds the 64 bits as a signed long."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).cast(pa.large_binary())
-        fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows)
-        return pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        return pa.record_batch([batch.column(0), _fingerprints(batch.column(1))], names=["id", "fp"])
 
     rows = input_rows(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
@@ -219,13 +223,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: that of the smallest id; of several rows of that id, or of null ids only, one of them.
 
-    Rows are told apart by a number that is staged with them, so one id may have several texts.
+    Rows are told apart by a number that is staged with them and their fingerprints, so one id may
+    have several texts. Null and empty texts are near copies of each other; an empty table stays empty.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
-    rows = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"))
-    rows = rows.join(fingerprints(numbered, "__row", text_col).withColumnRenamed("id", "__row"), "__row")
-    rows = staged(rows, "fingerprints")
+    place = docs.columns.index(text_col)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([*batch.columns, _fingerprints(batch.column(place))], names=[*batch.schema.names, "__fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    numbered = staged(map_batches(docs, each, schema).withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    rows = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"), F.col("__fp").alias("fp"))
     first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     distinct = staged(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
     kept = fingerprint_roots(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.hint("merge").join(staged(kept, "kept-rows"), "__row", "left_semi").drop("__row")
+    return numbered.hint("merge").join(staged(kept, "kept-rows"), "__row", "left_semi").drop("__row", "__fp")
