@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotlens.llm.text import input_rows, word_array
-from plotlens.session import staged
+from plotlens.session import drop_staged, staged
 
 BITS = 64
 #: Bits that may differ between near fingerprints, and the blocks that the tables choose from.
@@ -65,33 +65,47 @@ def _masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in map(sum, combinations(each, blocks - radius))]
 
 
-def count_near(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """``(fp, n_near)`` of each distinct query: how many other distinct fingerprints lie within the radius.
+def _met(queries: DataFrame, all_fps: DataFrame, radius: int, blocks: int, chunk: int) -> DataFrame:
+    """``(q, found)``: rows for each distinct query with the other fingerprints within the radius and how often each occurs.
 
     Two fingerprints that differ in at most ``radius`` bits share all bits of at least
-    ``blocks - radius`` blocks, so they meet in a table; they are counted in the first one only.
+    ``blocks - radius`` blocks, so they meet in a table; they are found in the first one only.
     The fingerprints of a bucket stand in arrays of about ``chunk``, dealt by a hash, so a query
-    meets a row for each array and the counting runs within it: no pair becomes a row.
+    meets a row for each array and the search runs within it: no pair becomes a row.
     """
     masks = _masks(radius, blocks)
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)]))
-    keyed = all_fps.select("fp").distinct().select("fp", table.alias("bucket")).select("bucket.*", "fp")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sizes = staged(sizes.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).drop("n"), "bucket-sizes")
+    keyed = all_fps.groupBy("fp").agg(F.count("*").alias("n")).select("fp", "n", table.alias("bucket")).select("bucket.*", "fp", "n")
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    sizes = staged(sizes.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).drop("size"), "bucket-sizes")
     dealt = keyed.hint("merge").join(sizes, ["t", "k"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    arrays = staged(dealt.groupBy("t", "k", "chunk").agg(F.collect_list("fp").alias("fps")), "bucket-arrays")
+    arrays = staged(dealt.groupBy("t", "k", "chunk").agg(F.collect_list(F.struct("fp", "n")).alias("held")), "bucket-arrays")
+    drop_staged(sizes)
     asked = queries.select("fp").distinct().select("fp", table.alias("bucket")).select("bucket.*", F.col("fp").alias("q"))
     earlier = F.array(*[F.lit(m) for m in masks])
 
-    def counted(x: Column) -> Column:
-        differ = x.bitwiseXOR(F.col("q"))
+    def near(x: Column) -> Column:
+        differ = x["fp"].bitwiseXOR(F.col("q"))
         before = F.exists(F.slice(earlier, 1, F.col("t")), lambda m: differ.bitwiseAND(m) == 0)
         return (F.bit_count(differ) <= radius) & (differ != 0) & ~before
 
-    found = asked.hint("merge").join(arrays, ["t", "k"]).select("q", F.size(F.filter("fps", counted)).alias("n"))
-    found = found.groupBy("q").agg(F.sum("n").alias("n_near"))
-    asked = queries.select("fp").distinct()
-    return asked.join(found, asked["fp"] == found["q"], "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return asked.hint("merge").join(arrays, ["t", "k"]).select("q", F.filter("held", near).alias("found"))
+
+
+def find_near(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """``(fp, near)``: each distinct query with every other distinct fingerprint within the radius."""
+    return _met(queries, all_fps, radius, blocks, chunk).select(F.col("q").alias("fp"), F.explode("found.fp").alias("near"))
+
+
+def count_near(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """``(fp, n_near)`` of each distinct query: how many other rows of ``all_fps`` have a fingerprint within the radius.
+
+    A query is itself a row of ``all_fps``; further rows of its fingerprint count.
+    """
+    found = _met(queries, all_fps, radius, blocks, chunk).select("q", F.aggregate("found.n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    found = staged(found.groupBy("q").agg(F.sum("n").alias("others")), "near-others")
+    own = all_fps.groupBy("fp").agg(F.count("*").alias("own")).join(queries.select("fp").distinct(), "fp", "left_semi")
+    return own.join(found, own["fp"] == found["q"], "left").select("fp", (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
@@ -115,16 +129,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """A row per document with its fingerprint, that of its edited text, and their likenesses.
 
     Besides the columns of the contract, documents whose id is divisible by ``every`` have
-    ``n_near``: how many other fingerprints of the table lie within the radius. A null text
+    ``n_near``: how many other documents have a fingerprint within the radius. A null text
     counts as empty. Rows repeated in full are one document in the order and give equal results;
     rows of one id stand in the order of a hash of their texts; a null id is smaller than any
     other. A single document is its own next. An empty table gives an empty result.
     """
-    rows = input_rows(docs, doc=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    null = F.lit(-(2**63))
-    rows = rows.select(F.coalesce(F.col("doc").cast("bigint"), null).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    light = staged(rows.select("doc", "h", F.char_length("text").cast("bigint").alias("n_chars")), "document-keys")
-    distinct = light.distinct()
+    rows = input_rows(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    light = staged(rows.select("id", "doc", "h", F.char_length("text").cast("bigint").alias("n_chars")), "document-keys")
+    distinct = light.select("doc", "h", "n_chars").distinct()
+    rows = rows.drop("id")
     after = staged(next_documents(distinct.select("doc", "h")), "next-documents")
     after = staged(after.join(distinct, ["doc", "h"]), "next-documents-sizes")
 
@@ -150,7 +164,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = staged(out.drop("next_doc", "next_h"), "document-fingerprints")
     text = lambda fp: F.lower(F.lpad(F.hex(fp), 16, "0"))
     return light.hint("merge").join(out, ["doc", "h"]).select(
-        F.when(F.col("doc") != null, F.col("doc")).alias(id_col), "n_chars", "edited_sha256",
+        F.col("id").alias(id_col), "n_chars", "edited_sha256",
         text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )
