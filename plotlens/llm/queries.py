@@ -55,6 +55,62 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op2 alone, which SQL can express."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op9 alone, which SQL can express."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 says of texts and edited texts, which SQL can express."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS payload, row_number() OVER (PARTITION BY sha256(coalesce(html, '')) ORDER BY page_id DESC) AS k,
+         max(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages),
+h AS (SELECT *, sha1(payload) AS hex FROM p)
+SELECT page_id, octet_length(payload)::bigint AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, (5 * i // 4 + 1)::int, 2) AS bigint) >> (3 - 5 * i % 4)) & 31)::int + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to, url AS target_uri, 1 AS n_requests
+FROM h
+"""
+
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+         list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+         list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d)
+SELECT doc_id, len(email)::bigint AS n_email,
+       len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda o: length(ltrim(o, '0')))) <= 3
+                                     AND list_max(list_transform(string_split(x, '.'), lambda o: cast('0' || right(o, 3) AS int))) <= 255))::bigint AS n_ip,
+       len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i:
+         CASE WHEN i % 2 = 1 THEN cast(substr(x, -i, 1) AS int) ELSE 2 * cast(substr(x, -i, 1) AS int) - CASE WHEN cast(substr(x, -i, 1) AS int) > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::bigint AS n_card,
+       len(list_filter(phone, lambda n: n BETWEEN 8 AND 15))::bigint AS n_phone
+FROM m
+"""
+
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::bigint AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint AS n_hex
+FROM d
+"""
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next FROM documents)
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(next, 1, length(t) // 3)) AS edited_sha256 FROM d
+"""
+
 OP3_SQL = r"""
 WITH split AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
@@ -118,12 +174,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_secrets": op9_secrets,
         "op10_fingerprints": op10_fingerprints,
+        "pii_counts": pii_counts,
+        "secret_counts": secret_counts,
+        "edited_documents": edited_documents,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+    sql = {"op1_warc": OP1_SQL, "pii_counts": PII_SQL, "secret_counts": SECRETS_SQL, "edited_documents": EDITED_SQL, "op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
