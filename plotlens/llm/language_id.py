@@ -31,7 +31,7 @@ SWITCH = 8.0
 #: A language uses a script if that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Letters scored at once, and word scores (words times languages) held at once.
-LETTERS, CELLS = 1 << 18, 1 << 21
+LETTERS, CELLS = 1 << 18, 1 << 22
 #: First and last code points of the scripts that are told apart; others are script 0.
 SCRIPTS = (
     (0x0041, 0x024F), (0x1E00, 0x1EFF), (0x0370, 0x03FF), (0x1F00, 0x1FFF), (0x0400, 0x052F), (0x0530, 0x058F),
