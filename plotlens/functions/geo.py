@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The valid box of the metric reference system, and of plausible coordinates.
-BOX = {"e": (100_000.0, 900_000.0), "n": (0.0, 900_000.0)}
+#: The valid box of the metric reference system, and of plausible degrees.
+BOX = {"e": (140_000.0, 880_000.0), "n": (100_000.0, 830_000.0)}
+DEGREES = {"lat": (48.9, 55.0), "lon": (13.9, 24.5)}
 #: Cost of a connection by distance, and what a well or a septic tank costs at most.
 UTILITY_COST = {"power": (4_500, 11_500, 25_000), "water": (8_000, 17_500, 50_000), "sewer": (7_500, 17_500, 40_000), "gas": (5_500, 14_000, 35_000)}
 UTILITY_CAP = {"water": 21_000, "sewer": 16_500}
@@ -102,9 +103,7 @@ def utility_cost(distances: Column) -> Column:
     total, seen = F.lit(0), F.lit(False)
     for name, (near, middle, far) in UTILITY_COST.items():
         d = F.element_at(distances, F.lit(name))
-        cost = F.when(d <= 50, near).when(d <= 200, middle).otherwise(far)
-        if name in UTILITY_CAP:
-            cost = F.least(cost, F.lit(UTILITY_CAP[name]))
+        cost = F.when(d <= 50, near).when(d <= 200, middle).otherwise(min(far, UTILITY_CAP.get(name, far)))
         total, seen = total + cost, seen | d.isNotNull()
     return F.when(seen, total)
 
@@ -113,6 +112,15 @@ def plausible(e: Column, n: Column) -> Column:
     return e.between(*BOX["e"]) & n.between(*BOX["n"])
 
 
+def plausible_degrees(lat: Column, lon: Column) -> Column:
+    """False for missing degrees too."""
+    return F.coalesce(lat.between(*DEGREES["lat"]) & lon.between(*DEGREES["lon"]), F.lit(False))
+
+
+def distance_bucket(distance: Column) -> Column:
+    return F.when(distance <= 50, "<=50m").when(distance <= 200, "50-200m").otherwise(">200m")
+
+
 def from_wgs84(lat: Column, lon: Column) -> Column:
     """Degrees to the metric system: transverse Mercator on GRS80, central meridian 19, scale 0.9993, by Krueger's series."""
     a, f, scale = 6_378_137.0, 1 / 298.257222101, 0.9993
@@ -129,3 +137,55 @@ def from_wgs84(lat: Column, lon: Column) -> Column:
         e = e + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         n = n + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.struct((500_000 + scale * radius * e).alias("e"), (scale * radius * n - 5_300_000).alias("n"))
+
+
+def to_wgs84(e: Column, n: Column) -> Column:
+    """The inverse of ``from_wgs84``, by the inverse series."""
+    a, f, scale = 6_378_137.0, 1 / 298.257222101, 0.9993
+    m = f / (2 - f)
+    radius = a / (1 + m) * (1 + m**2 / 4 + m**4 / 64)
+    beta = (m / 2 - 2 * m**2 / 3 + 37 * m**3 / 96, m**2 / 48 + m**3 / 15, 17 * m**3 / 480)
+    delta = (2 * m - 2 * m**2 / 3 - 2 * m**3, 7 * m**2 / 3 - 8 * m**3 / 5, 56 * m**3 / 15)
+    xi0, eta0 = (n + 5_300_000) / (scale * radius), (e - 500_000) / (scale * radius)
+    xi, eta = xi0, eta0
+    for j, c in enumerate(beta, 1):
+        xi = xi - c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.struct(F.degrees(lat).alias("lat"), (F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + 19).alias("lon"))
+
+
+def strip_srid(wkt: Column, wanted: int | None = None) -> Column:
+    """``SRID=2180;POLYGON(...)`` as ``(srid, wkt)``; with ``wanted``, geometries of another system are null."""
+    prefixed = F.upper(wkt).startswith("SRID=")
+    srid = F.when(prefixed, F.substring(F.substring_index(wkt, ";", 1), 6, 20).try_cast("int"))
+    body = F.when(prefixed, F.nullif(F.regexp_replace(wkt, "^[^;]*;", ""), F.lit(""))).otherwise(F.nullif(wkt, F.lit("")))
+    if wanted is not None:
+        body = F.when(srid.isNull() | (srid == wanted), body)
+    return F.struct(srid.alias("srid"), body.alias("wkt"))
+
+
+def rings_of_wkt(wkt: Column) -> Column:
+    """All rings of a ``POLYGON`` or ``MULTIPOLYGON`` as arrays of ``(e, n)``, holes after their outlines."""
+    texts = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    point = lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("e"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("n"))
+    return F.transform(texts, lambda t: F.transform(F.split(t, ","), point))
+
+
+def signed_area(ring: Column) -> Column:
+    """Positive for a ring against the clock."""
+    return _sum(edges(ring), _cross) / 2
+
+
+def polygon_area(rings: Column) -> Column:
+    """The area of a polygon from its outline and the holes behind it."""
+    return 2 * area(rings[0]) - F.aggregate(rings, F.lit(0.0), lambda a, r: a + area(r))
+
+
+def in_polygon(e: Column, n: Column, rings: Column) -> Column:
+    """Covered by a polygon with holes: an odd number of its rings holds the point, or a boundary does."""
+    odd = F.size(F.filter(rings, lambda r: inside(e, n, r))) % 2 == 1
+    return odd | F.exists(rings, lambda r: line_distance(e, n, r) <= 1e-9)

@@ -37,7 +37,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, name: str = "dist_m
     return joined.where(F.col(name) <= radius).drop("__cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float, rounds: int = 24) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float) -> DataFrame:
     """``(key, right_key, dist_m)``: the nearest right row of each left row, the smaller key on a tie.
 
     A partner within a cell's width is the nearest for sure. Rows without one go on with cells
@@ -48,7 +48,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: f
     if points.isEmpty():
         return open_.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("dist_m")).limit(0)
     done = None
-    for _ in range(rounds):
+    while True:
         a = open_.withColumn("__cell", F.explode(around("e", "n", size)))
         b = points.withColumn("__cell", cell("e2", "n2", size))
         pairs = a.join(b, "__cell").withColumn("dist_m", distance("e", "n", "e2", "n2")).where(F.col("dist_m") <= size)
@@ -57,9 +57,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: f
         done = found if done is None else done.union(found)
         open_ = open_.join(best.select(key), key, "left_anti")
         if open_.isEmpty():
-            break
+            return done
         size *= 2
-    return done
 
 
 def tiles(points: DataFrame, most: int = 5000, smallest: float = 1000.0, largest: float = 64_000.0) -> DataFrame:

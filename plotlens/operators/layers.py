@@ -1,39 +1,81 @@
-"""Points against layers of polygons and lines, on the cells of a grid."""
+"""Points against layers of polygons and lines, on grids whose cells fit the shapes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotlens.functions import geo
+from plotlens.functions import geo, text
 from plotlens.operators.grid import cell
-
-
-def _cells(box, size: float):
-    """All cells that a box touches."""
-    x = F.sequence(F.floor(box["e_min"] / size).cast("bigint"), F.floor(box["e_max"] / size).cast("bigint"))
-    y = F.sequence(F.floor(box["n_min"] / size).cast("bigint"), F.floor(box["n_max"] / size).cast("bigint"))
-    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("x"), j.alias("y")))))
+from plotlens.session import staged
+
+#: Scenarios of the flood layers, the worst first in the order of the gates.
+SCENARIOS = ("q10", "q1", "hWZ", "q0_2")
+#: Zones of general plans and what they are for.
+ZONES = {
+    "SW": "wielofunkcyjna z zabudowa mieszkaniowa wielorodzinna", "SJ": "wielofunkcyjna z zabudowa mieszkaniowa jednorodzinna", "SZ": "wielofunkcyjna z zabudowa zagrodowa",
+    "SU": "uslugowa", "SH": "handlu wielkopowierzchniowego", "SP": "gospodarcza", "SR": "produkcji rolniczej", "SI": "infrastrukturalna", "SN": "zieleni i rekreacji",
+    "SC": "cmentarzy", "SG": "gornictwa", "SO": "otwarta", "SK": "komunikacyjna",
+}
+#: Attributes of a zone that hold its four building indicators.
+INDICATORS = {
+    "intensity": "maksNadziemnaIntensywnoscZabudowy", "footprint_pct": "maksUdzialPowierzchniZabudowy", "height_m": "maksWysokoscZabudowy", "green_pct": "minUdzialPowierzchniBiologicznieCzynnej",
+}
+#: A parcel's box meets a square of this half side around the point; no parcel is matched from farther; share and distance that tell rivals.
+AROUND_M, FARTHEST_M, TOLERANCE, RIVAL_M = 150.0, 250.0, 0.10, 20.0
+#: Where a network counts as visible.
+VISIBLE_M = 200.0
+_RING = "array<struct<e:double,n:double>>"
+
+
+def _listed(shapes: DataFrame, box: Column, size: float) -> DataFrame:
+    """``shapes`` once for each cell that the box touches, four at most: cells are as wide as the shape, in powers of two."""
+    extent = F.greatest(box["e_max"] - box["e_min"], box["n_max"] - box["n_min"], F.lit(size))
+    out = shapes.withColumn("__level", F.ceil(F.log2(extent / size)).cast("int")).withColumn("__box", box)
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("__level"))
+    span = lambda low, high: F.sequence(F.floor(F.col(f"__box.{low}") / step), F.floor(F.col(f"__box.{high}") / step))
+    cells = F.flatten(F.transform(span("e_min", "e_max"), lambda i: F.transform(span("n_min", "n_max"), lambda j: F.struct(i.alias("x"), j.alias("y")))))
+    return out.where(F.col("__box.e_min").isNotNull()).withColumn("__cell", F.explode(cells)).drop("__box")
+
+
+def _placed(points: DataFrame, listed: DataFrame, size: float) -> DataFrame:
+    """``points`` once for each width of cells that the shapes have: a few, as widths double."""
+    levels = [r[0] for r in listed.select("__level").distinct().collect()]
+    at = [F.struct(F.lit(k).alias("level"), cell("e", "n", size * 2.0**k).alias("cell")) for k in levels]
+    at = F.array(*at) if at else F.array().cast("array<struct<level:int,cell:struct<x:bigint,y:bigint>>>")
+    return points.where("e is not null and n is not null").select("*", F.explode(at).alias("__at")).select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
 
 
 def covering(points: DataFrame, polygons: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Pairs of a point (``e``, ``n``) and a polygon (``ring``) that covers it; the boundary counts.
+    """Pairs of a point (``e``, ``n``) and a polygon (``ring``, or ``rings`` with holes) that covers it; the boundary counts.
 
-    A polygon is listed under all cells that its box touches, a point under its own.
+    Only numbers of polygons are listed under cells; a polygon meets the points of its cells afterwards.
     """
-    listed = polygons.withColumn("__cell", F.explode(_cells(geo.bounds(F.col("ring")), size)))
-    placed = points.where("e is not null and n is not null").withColumn("__cell", cell("e", "n", size))
-    return placed.join(listed, "__cell").where(geo.covers(F.col("e"), F.col("n"), F.col("ring"))).drop("__cell")
+    numbered = staged(polygons.withColumn("__id", F.monotonically_increasing_id()), "polygons")
+    holed = "rings" in polygons.columns
+    outline = F.col("rings")[0] if holed else F.col("ring")
+    listed = staged(_listed(numbered.select("__id", outline.alias("__ring")), geo.bounds(F.col("__ring")), size).drop("__ring"), "polygon-cells")
+    met = _placed(points, listed, size).join(listed, ["__level", "__cell"]).drop("__level", "__cell").join(numbered, "__id").drop("__id")
+    e, n = F.col("e"), F.col("n")
+    return met.where(geo.in_polygon(e, n, F.col("rings")) if holed else geo.covers(e, n, F.col("ring")))
 
 
 def lines_within(points: DataFrame, lines: DataFrame, radius: float, name: str = "dist_m") -> DataFrame:
-    """Pairs of a point and a line (``line``) at most ``radius`` apart."""
-    box = geo.bounds(F.col("line"))
-    wide = F.struct((box["e_min"] - radius).alias("e_min"), (box["n_min"] - radius).alias("n_min"), (box["e_max"] + radius).alias("e_max"), (box["n_max"] + radius).alias("n_max"))
-    listed = lines.withColumn("__cell", F.explode(_cells(wide, max(radius, 1.0))))
-    placed = points.where("e is not null and n is not null").withColumn("__cell", cell("e", "n", max(radius, 1.0)))
-    joined = placed.join(listed, "__cell").withColumn(name, geo.line_distance(F.col("e"), F.col("n"), F.col("line")))
-    return joined.where(F.col(name) <= radius).drop("__cell")
+    """Pairs of a point and a line (``line``) at most ``radius`` apart; a line is listed side by side, not by its box."""
+    size = max(radius, 1.0)
+    spots = staged(points.where("e is not null and n is not null").withColumn("__p", F.monotonically_increasing_id()), "points")
+    numbered = staged(lines.withColumn("__id", F.monotonically_increasing_id()), "lines")
+    sides = numbered.select("__id", F.explode(geo.edges(F.col("line"))).alias("s"))
+    s = F.col("s")
+    box = F.struct(
+        (F.least(s["e1"], s["e2"]) - radius).alias("e_min"), (F.least(s["n1"], s["n2"]) - radius).alias("n_min"),
+        (F.greatest(s["e1"], s["e2"]) + radius).alias("e_max"), (F.greatest(s["n1"], s["n2"]) + radius).alias("n_max"),
+    )
+    listed = staged(_listed(sides, box, size), "line-cells")
+    near = _placed(spots.select("__p", "e", "n"), listed, size).join(listed, ["__level", "__cell"])
+    near = near.withColumn(name, geo.segment_distance(F.col("e"), F.col("n"), s)).where(F.col(name) <= radius)
+    best = near.groupBy("__p", "__id").agg(F.min(name).alias(name))
+    return spots.join(best, "__p").join(numbered, "__id").drop("__p", "__id")
 
 
 def acts_in_force(pairs: DataFrame, key: str, act: str, in_force: str, since: str) -> DataFrame:
@@ -42,39 +84,124 @@ def acts_in_force(pairs: DataFrame, key: str, act: str, in_force: str, since: st
     return pairs.groupBy(key).agg(F.max_by(F.struct(act, in_force, since), order).alias("r")).select(key, "r.*")
 
 
-def flood_zones(points: DataFrame, key: str, zones: DataFrame, order: tuple[str, ...] = ("q10", "q1", "hWZ", "q0_2")) -> DataFrame:
-    """``(key, floods)``: the scenarios whose zones cover a point, worst first; empty where none does."""
-    hit = covering(points.select(key, "e", "n"), zones.select("scenario", "ring")).groupBy(key).agg(F.collect_set("scenario").alias("s"))
+def local_plans(points: DataFrame, key: str, acts: DataFrame) -> DataFrame:
+    """``(key, local_plan, act, since, n_acts)``: the act that counts at each point, and of how many like it.
+
+    ``acts`` has ``(act, in_force, since, ring)``. Where one in force covers the point, others don't count.
+    """
+    hit = covering(points.select(key, "e", "n"), acts.select("act", "in_force", "since", "ring"))
+    best = acts_in_force(hit, key, "act", "in_force", "since")
+    counts = hit.groupBy(key).agg(F.count("*").alias("n"), F.count_if("in_force").alias("n_in_force"))
+    out = points.select(key).join(best, key, "left").join(counts, key, "left")
+    n = F.when(F.col("n_in_force") > 0, F.col("n_in_force")).otherwise(F.coalesce("n", F.lit(0)))
+    return out.select(key, F.col("act").isNotNull().alias("local_plan"), "act", "since", n.alias("n_acts"))
+
+
+def planning_zones(points: DataFrame, key: str, acts: DataFrame, zones: DataFrame, infill: DataFrame) -> DataFrame:
+    """``(key, general_plan, act, zone, zone_name, buildable, infill, indicators)`` at each point.
+
+    ``acts`` has ``(act, ring)``, ``zones`` ``(zone, fields, ring)`` with a map of raw attributes,
+    ``infill`` ``(ring)``. Without an act the infill is unknown; with one, no hit means outside.
+    Of several hits the first by name counts.
+    """
+    spots = points.select(key, "e", "n")
+    act = covering(spots, acts.select("act", "ring")).groupBy(key).agg(F.min("act").alias("act"))
+    zone = covering(spots, zones.select("zone", "fields", "ring")).groupBy(key).agg(F.min_by(F.struct("zone", "fields"), F.struct("zone", F.to_json("fields"))).alias("z"))
+    filled = covering(spots, infill.select("ring")).select(key).distinct().withColumn("hit", F.lit(True))
+    out = points.select(key).join(act, key, "left").join(zone, key, "left").join(filled, key, "left")
+    planned = F.col("act").isNotNull()
+    symbol = F.when(planned, F.col("z.zone"))
+    names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    values = F.struct(*[F.when(planned, text.indicator(F.try_element_at(F.col("z.fields"), F.lit(raw)))).alias(name) for name, raw in INDICATORS.items()])
+    return out.select(
+        key, planned.alias("general_plan"), "act", symbol.alias("zone"), F.try_element_at(names, symbol).alias("zone_name"), symbol.isin(*text.BUILDING_ZONES).alias("buildable"),
+        F.when(planned, F.col("hit").isNotNull()).alias("infill"), values.alias("indicators"),
+    )
+
+
+def flood_zones(points: DataFrame, key: str, zones: DataFrame, order: tuple[str, ...] = SCENARIOS, checked: tuple[str, ...] = SCENARIOS) -> DataFrame:
+    """``(key, floods, flood_checked)``: the scenarios whose zones cover a point, worst first, and whether all were looked at.
+
+    ``checked`` are the scenarios whose layers could be read; no hit in another one says nothing.
+    """
+    hit = covering(points.select(key, "e", "n"), zones.where(F.col("scenario").isin(*checked)).select("scenario", "ring")).groupBy(key).agg(F.collect_set("scenario").alias("s"))
     ranked = F.filter(F.array(*[F.lit(o) for o in order]), lambda o: F.array_contains(F.col("s"), o))
-    return points.select(key).join(hit.select(key, ranked.alias("floods")), key, "left").select(key, F.coalesce("floods", F.array().cast("array<string>")).alias("floods"))
+    found = points.select(key).join(hit.select(key, ranked.alias("floods")), key, "left")
+    return found.select(key, F.coalesce("floods", F.array().cast("array<string>")).alias("floods"), F.lit(set(checked) >= set(order)).alias("flood_checked"))
 
 
 def utility_distances(points: DataFrame, key: str, networks: DataFrame, radius: float = 500.0) -> DataFrame:
     """``(key, distances)``: the distance of the nearest line of each medium within the radius, as a map."""
     near = lines_within(points.select(key, "e", "n"), networks.select("medium", "line"), radius)
     best = near.groupBy(key, "medium").agg(F.min("dist_m").alias("d"))
-    return best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("medium", "d"))).alias("distances"))
+    return best.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("medium", "d")))).alias("distances"))
 
 
-def match_parcels(offers: DataFrame, parcels: DataFrame, radius: float = 150.0, tolerance: float = 0.10, rival_m: float = 20.0) -> DataFrame:
-    """``(offer_id, parcel_id, quality)``: the parcel that an offer's point and declared area name.
+def utility_buckets(points: DataFrame, key: str, networks: DataFrame) -> DataFrame:
+    """``(key, in_service, buckets, reachable, utility_cost)`` of every point.
+
+    An area is in service if any network is visible within 200 m; a medium that is not is then
+    farther off. Outside nothing is known, the cost included.
+    """
+    found = points.select(key).join(utility_distances(points, key, networks, VISIBLE_M), key, "left")
+    known = F.coalesce(F.size("distances") > 0, F.lit(False))
+    media = list(geo.UTILITY_COST)
+    buckets = F.map_from_arrays(F.array(*[F.lit(m) for m in media]), F.array(*[geo.distance_bucket(F.try_element_at("distances", F.lit(m))) for m in media]))
+    reach = F.filter(F.array(*[F.lit(m) for m in media]), lambda m: F.try_element_at(F.col("distances"), m) <= VISIBLE_M)
+    return found.select(
+        key, known.alias("in_service"), F.when(known, buckets).alias("buckets"), F.when(known, reach).otherwise(F.array().cast("array<string>")).alias("reachable"),
+        F.when(known, geo.utility_cost(F.col("distances"))).alias("utility_cost"),
+    )
 
-    Inside and of the declared area is ``high``; a parcel of that area nearby is ``medium``, or
-    ``low`` with a rival almost as near; merely around the point is ``low``; else there is no row.
+
+def terrain(points: DataFrame, key: str, heights: DataFrame, step: float = 10.0) -> DataFrame:
+    """``(key, height, slope, aspect)`` from a grid of heights ``(e, n, height)``: the nearest node and its eight neighbours.
+
+    Without the node itself nothing is known; with a neighbour missing only the height is.
+    """
+    around = [(0, 0), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    node = lambda e, n: F.struct(F.round(e / step).cast("bigint").alias("x"), F.round(n / step).cast("bigint").alias("y"))
+    own = node(F.col("e"), F.col("n"))
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), (own["x"] + x).alias("x"), (own["y"] + y).alias("y")) for i, (x, y) in enumerate(around)])
+    asked = points.where("e is not null and n is not null").select(key, F.explode(offsets).alias("o")).select(key, "o.i", F.struct("o.x", "o.y").alias("node"))
+    known = heights.groupBy(node(F.col("e"), F.col("n")).alias("node")).agg(F.min("height").alias("height"))
+    held = asked.join(known, "node").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "height"))).alias("h"))
+    at = lambda i: F.try_element_at(F.col("h"), F.lit(i))
+    slope, aspect = geo.slope(at(0), F.array(*[at(i) for i in range(1, 9)]), step)
+    return points.select(key).join(held.where(at(0).isNotNull()).select(key, at(0).alias("height"), slope.alias("slope"), F.round(aspect).cast("int").alias("aspect")), key, "left")
+
+
+def match_parcels(offers: DataFrame, parcels: DataFrame, around: float = AROUND_M, farthest: float = FARTHEST_M, tolerance: float = TOLERANCE, rival_m: float = RIVAL_M) -> DataFrame:
+    """``(offer_id, parcel_id, quality, far, ratio, alternatives, usable)`` of every offer with parcels around.
+
+    A parcel around the point whose area fits the declared one is ``high``, of several the one that
+    fits best. Else the best fitting area, then the nearest, is ``medium``, or ``low`` if the second
+    of that order is as near to within ``rival_m``; else a parcel around the point is ``low``; else
+    the quality is ``none``. Ties go to the smaller parcel id. ``high`` and ``medium`` are usable.
     """
     ring, e, n = F.col("ring"), F.col("e"), F.col("n")
-    boxed = parcels.withColumn("__box", geo.bounds(ring)).withColumn("parcel_area", geo.area(ring))
-    box = F.col("__box")
-    wide = F.struct((box["e_min"] - radius).alias("e_min"), (box["n_min"] - radius).alias("n_min"), (box["e_max"] + radius).alias("e_max"), (box["n_max"] + radius).alias("n_max"))
-    listed = boxed.withColumn("__cell", F.explode(_cells(wide, 500.0)))
-    pairs = offers.where("e is not null and n is not null").withColumn("__cell", cell("e", "n", 500.0)).join(listed, "__cell")
-    pairs = pairs.withColumn("far", geo.point_distance(e, n, ring)).where(F.col("far") <= radius)
+    numbered = staged(parcels.select("parcel_id", "ring", geo.area(ring).alias("parcel_area")), "parcels")
+    box = geo.bounds(ring)
+    wide = F.struct((box["e_min"] - around).alias("e_min"), (box["n_min"] - around).alias("n_min"), (box["e_max"] + around).alias("e_max"), (box["n_max"] + around).alias("n_max"))
+    listed = staged(_listed(numbered.select("parcel_id", "ring"), wide, 500.0).drop("ring"), "parcel-cells")
+    pairs = _placed(offers.select("offer_id", "e", "n", "declared_m2"), listed, 500.0).join(listed, ["__level", "__cell"]).join(numbered, "parcel_id")
+    pairs = pairs.where(e.between(wide["e_min"], wide["e_max"]) & n.between(wide["n_min"], wide["n_max"])).withColumn("far", geo.point_distance(e, n, ring)).where(F.col("far") <= farthest)
     known = (F.col("parcel_area") > 0) & (F.col("declared_m2") > 0)  # least and greatest skip nulls
     ratio = F.when(known, F.least("parcel_area", "declared_m2") / F.greatest("parcel_area", "declared_m2"))
-    fits = F.coalesce(ratio >= 1 - tolerance, F.lit(False))
-    rank = F.when((F.col("far") == 0) & fits, 0).when(fits, 1).when(F.col("far") == 0, 2)
-    pairs = pairs.withColumn("rank", rank).where("rank is not null").select("offer_id", "parcel_id", "rank", "far")
-    best = pairs.groupBy("offer_id").agg(F.min(F.struct("rank", "far", "parcel_id")).alias("b"), F.sort_array(F.collect_list(F.when(F.col("rank") == 1, F.col("far")))).alias("fitting"))
-    rival = (F.size("fitting") > 1) & (F.get("fitting", F.lit(1)) - F.get("fitting", F.lit(0)) < rival_m)
-    quality = F.when(F.col("b.rank") == 0, "high").when((F.col("b.rank") == 1) & ~rival, "medium").otherwise("low")
-    return best.select("offer_id", "b.parcel_id", quality.alias("quality"), F.col("b.far").alias("far"))
+    inside = geo.inside(e, n, ring) & (geo.line_distance(e, n, ring) > 0)
+    pairs = pairs.select("offer_id", "parcel_id", "far", ratio.alias("ratio"), inside.alias("inside")).withColumn("fits", F.coalesce(F.col("ratio") >= 1 - tolerance, F.lit(False)))
+    pairs = staged(pairs, "parcel-pairs")
+    one = F.struct((-F.coalesce("ratio", F.lit(0.0))).alias("worse"), "far", "parcel_id", "ratio")
+    of = pairs.groupBy("offer_id").agg(
+        F.min(F.when(F.col("inside") & F.col("fits"), one)).alias("high"), F.array_sort(F.collect_list(F.when(F.col("fits"), one))).alias("fitting"),
+        F.min(F.when(F.col("inside"), F.struct("parcel_id", "far", "ratio"))).alias("around"), F.slice(F.array_sort(F.collect_list("parcel_id")), 1, 3).alias("first"),
+    )
+    best, second = F.get("fitting", F.lit(0)), F.get("fitting", F.lit(1))
+    rival = F.coalesce(F.abs(best["far"] - second["far"]) < rival_m, F.lit(False))
+    quality = F.when(F.col("high").isNotNull(), "high").when(best.isNotNull(), F.when(rival, "low").otherwise("medium")).when(F.col("around").isNotNull(), "low").otherwise("none")
+    pick = lambda c: F.coalesce(F.col("high")[c], best[c], F.col("around")[c])
+    others = F.when(F.col("high").isNull() & best.isNotNull(), F.transform(F.slice("fitting", 2, 3), lambda x: x["parcel_id"])).when(quality == "none", F.col("first"))
+    return of.select(
+        "offer_id", pick("parcel_id").alias("parcel_id"), quality.alias("quality"), pick("far").alias("far"), pick("ratio").alias("ratio"),
+        F.coalesce(others, F.array().cast("array<string>")).alias("alternatives"), quality.isin("high", "medium").alias("usable"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlens.functions import codes, price
 from plotlens.operators import hierarchy, stats
+from plotlens.session import staged
 
 #: Sales a year needs, the largest believed yearly change, and the pull towards the wider level.
 YEAR_SALES, LARGEST_CHANGE, PULL = 10, 0.40, 30
@@ -47,23 +48,25 @@ def medians(sales: DataFrame, as_of: str, dynamics: DataFrame | None = None) ->
         own = dynamics.where("level = 'gmina'").select(F.col("area").alias("municipality"), "cagr")
         rows = rows.join(own, "municipality", "left")
     rows = rows.withColumn("today", price.indexed(F.col("norm"), F.col("cagr"), F.col("years")))
-    rows = hierarchy.at_levels(rows.select("municipality", "segment", "today", "price_m2"), "municipality")
-    rows = rows.withColumn("segment", F.explode(F.array("segment", F.lit("*"))))
-    found = rows.groupBy("level", "area", "segment").agg(
-        F.count("*").alias("n"), F.percentile("today", [0.25, 0.5, 0.75]).alias("p"), F.median("price_m2").alias("median_raw")
-    )
-    return found.where(F.col("n") >= STORED).select(
-        "level", "area", "segment", "n",
+    rows = staged(rows.select("municipality", "segment", "today", "price_m2"), "market-sales")
+    rows = hierarchy.at_levels(rows, "municipality").withColumn("segment", F.explode(F.array("segment", F.lit("*"))))
+    keys = ["level", "area", "segment"]
+    both = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("x")) for kind, c in (("norm", "today"), ("raw", "price_m2"))]))
+    found = stats.quantiles(rows.select(*keys, both.alias("v")).select(*keys, "v.kind", "v.x"), ["kind", *keys], "x", [0.25, 0.5, 0.75], "p").where(F.col("n") >= STORED)
+    norm, raw = found.where("kind = 'norm'"), found.where("kind = 'raw'").select(*keys, "n", F.col("p")[1].alias("raw"))
+    return norm.select(*keys, "p").join(raw, keys).select(
+        *keys, "n",
         F.round(F.col("p")[1], 2).alias("median_norm"), F.round(F.col("p")[0], 2).alias("p25_norm"), F.round(F.col("p")[2], 2).alias("p75_norm"),
-        F.round("median_raw", 2).alias("median_raw"),
+        F.round("raw", 2).alias("median_raw"),
     )
 
 
 def yearly_medians(sales: DataFrame) -> DataFrame:
     """``(level, area, segment, year, median, n)`` of normalised prices."""
     norm = price.normalised(F.col("price_m2"), F.col("area_m2").cast("double"))
-    rows = sales.select("municipality", "segment", F.year("sale_date").alias("year"), norm.alias("norm"))
-    return hierarchy.at_levels(rows, "municipality").groupBy("level", "area", "segment", "year").agg(F.median("norm").alias("median"), F.count("*").alias("n"))
+    rows = staged(sales.select("municipality", "segment", F.year("sale_date").alias("year"), norm.alias("norm")), "yearly-sales")
+    found = stats.quantiles(hierarchy.at_levels(rows, "municipality"), ["level", "area", "segment", "year"], "norm", [0.5])
+    return found.select("level", "area", "segment", "year", F.col("q")[0].alias("median"), "n")
 
 
 def dynamics(yearly: DataFrame) -> DataFrame:
@@ -108,10 +111,10 @@ def quarterly_history(sales: DataFrame, last_sale: Column | None = None) -> Data
     A quarter is complete when the area has a sale 92 days after its start or later.
     """
     norm = price.normalised(F.col("price_m2"), F.col("area_m2").cast("double"))
-    rows = sales.select("municipality", "sale_date", F.trunc("sale_date", "quarter").alias("quarter"), norm.alias("norm"))
+    rows = staged(sales.select("municipality", "sale_date", F.trunc("sale_date", "quarter").alias("quarter"), norm.alias("norm")), "quarterly-sales")
     rows = hierarchy.at_levels(rows, "municipality")
     last = rows.groupBy("level", "area").agg(F.max("sale_date").alias("last"))
-    found = rows.groupBy("level", "area", "quarter").agg(F.percentile("norm", [0.25, 0.5, 0.75]).alias("p"), F.count("*").alias("n"))
+    found = stats.quantiles(rows, ["level", "area", "quarter"], "norm", [0.25, 0.5, 0.75], "p")
     found = found.where(F.col("n") >= QUARTER_SALES).join(last, ["level", "area"])
     return found.select(
         "level", "area", "quarter", F.concat(F.year("quarter").cast("string"), F.lit(" Q"), F.quarter("quarter").cast("string")).alias("label"),

@@ -11,7 +11,7 @@ from plotlens.operators import grid, stats
 from plotlens.session import staged
 
 #: Comparables: area band, months back, rows of a level at most, price bounds a m2.
-BAND, MONTHS, PER_LEVEL, PRICE_M2 = 8, 36, 1500, (5.0, 20_000.0)
+BAND, MONTHS, PER_LEVEL, PRICE_M2 = 8, 36, 1500, (1.0, 20_000.0)
 #: Enough sales of a segment in all and nearby.
 ENOUGH, ENOUGH_NEAR = 12, 5
 #: Model 1: pull towards the wider level, least sigma, sales that a sigma needs; both: largest usable sigma.
@@ -22,6 +22,8 @@ Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.96}
 NEIGHBOURS, GEOGRAPHY, MISMATCH, RADIUS_M, FETCHED = 20, 0.7, 25.0, 15_000.0, 600
 #: What a comparable brings along.
 SIDE = ("tx_id", "tx_date", "tx_area", "tx_price_m2", "tx_segment")
+#: What of its target it carries.
+TARGET = ("target_id", "area_m2", "segment", "as_of")
 #: Levels of a comparable from wide to local.
 LEVELS = ("wojewodztwo", "powiat", "gmina", "obreb")
 
@@ -62,21 +64,70 @@ def _eligible() -> Column:
     )
 
 
+#: Levels and the digits of the municipality that their areas share; a precinct is small and taken whole.
+DIGITS = {"wojewodztwo": 2, "powiat": 4, "gmina": 7}
+
+
+def _month(date: Column) -> Column:
+    return F.year(date) * 12 + F.month(date)
+
+
+def _months_needed(targets: DataFrame, sales: DataFrame, per_level: int) -> DataFrame:
+    """``(target_id, level, from)``: the latest month from which on a level surely has ``per_level`` sales of the target's band.
+
+    Read off counts by area, month and octave of plot area: of the band only octaves that lie in it
+    whole count, and neither the valuation's own month nor what belongs to a narrower level does.
+    Levels that never have so many are left out, and so are municipalities and precincts, which are taken whole.
+    """
+    octave = F.floor(F.log2("tx_area")).cast("int")
+    counts = sales.where("tx_area > 0 and tx_municipality is not null").groupBy("tx_municipality", _month(F.col("tx_date")).alias("month"), octave.alias("octave")).agg(F.count("*").alias("n"))
+    counts = staged(counts, "sales-counts")
+    asked = targets.select("target_id", "municipality", "area_m2", _month(F.col("as_of")).alias("now"))
+    within = (F.pow(F.lit(2.0), "octave") >= F.col("area_m2") / BAND) & (F.pow(F.lit(2.0), F.col("octave") + 1) <= F.col("area_m2") * BAND) & F.col("month").between(F.col("now") - MONTHS + 1, F.col("now") - 1)
+    found = []
+    for level, narrower in (("wojewodztwo", DIGITS["powiat"]), ("powiat", DIGITS["gmina"])):
+        digits = DIGITS[level]
+        of = counts.groupBy(F.substring("tx_municipality", 1, digits).alias("area"), "month", "octave").agg(F.sum("n").alias("n"))
+        part = asked.join(of, F.substring("municipality", 1, digits) == F.col("area")).where(within).groupBy("target_id", "month").agg(F.sum("n").alias("n"))
+        own = counts.groupBy(F.substring("tx_municipality", 1, narrower).alias("area"), "month", "octave").agg(F.sum("n").alias("own"))
+        own = asked.join(own, F.substring("municipality", 1, narrower) == F.col("area")).where(within).groupBy("target_id", "month").agg(F.sum("own").alias("own"))
+        part = part.join(own, ["target_id", "month"], "left").select("target_id", "month", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
+        found.append(part.select("target_id", F.lit(level).alias("level"), "month", "n"))
+    held = F.sum("n").over(Window.partitionBy("target_id", "level").orderBy(F.desc("month")))
+    reached = found[0].unionByName(found[1]).withColumn("held", held).where(F.col("held") >= per_level)
+    return reached.groupBy("target_id", "level").agg(F.max("month").alias("from"))
+
+
 def comparables(targets: DataFrame, sales: DataFrame, per_level: int = PER_LEVEL) -> DataFrame:
-    """Targets with the sales of their voivodeship, the ``level`` they share, and the newest of each level."""
-    side = sales.drop("e", "n").withColumn("__woj", F.substring("tx_municipality", 1, 2))
-    joined = with_codes(targets).withColumn("__woj", F.substring("municipality", 1, 2)).join(side, "__woj").where(_eligible()).withColumn("level", _level())
+    """Targets with the sales of their voivodeship, the ``level`` they share, and the newest of each level.
+
+    A target meets the sales of each level under the level's own key and month by month, and no
+    months before those that surely hold the newest ``per_level`` of the level. So a target is
+    joined with a few thousand sales, however many its voivodeship has.
+    """
+    coded = staged(with_codes(targets).select(*TARGET, "parcel_id", "precinct", "municipality"), "coded-targets")
+    side = staged(sales.drop("e", "n"), "model-sales")
+    need = staged(_months_needed(coded, side, per_level), "months-needed")
+    now = _month(F.col("as_of"))
+    levels = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.substring("municipality", 1, d).alias("key")) for lv, d in DIGITS.items()], F.struct(F.lit("obreb").alias("level"), F.col("precinct").alias("key"))))
+    asked = coded.select("*", levels.alias("__l")).select("*", F.col("__l.level").alias("level"), F.col("__l.key").alias("__key")).drop("__l").where("__key is not null")
+    asked = asked.join(need, ["target_id", "level"], "left")
+    months = F.sequence(F.greatest(F.coalesce("from", now - MONTHS), now - MONTHS), now)
+    asked = asked.withColumn("__month", F.explode(months)).drop("from")
+    keys = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.substring("tx_municipality", 1, d).alias("key")) for lv, d in DIGITS.items()], F.struct(F.lit("obreb").alias("level"), F.col("tx_precinct").alias("key"))))
+    listed = side.select("*", keys.alias("__l"), _month(F.col("tx_date")).alias("__month")).select("*", F.col("__l.level").alias("level"), F.col("__l.key").alias("__key")).drop("__l").where("__key is not null")
+    joined = asked.join(listed, ["level", "__key", "__month"]).where(_eligible() & (F.col("level") == _level()))
     newest = Window.partitionBy("target_id", "level").orderBy(F.desc("tx_date"), "tx_id")
     newest_of = joined.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= per_level)
-    return staged(newest_of.select(*targets.columns, *SIDE, "level"), "comparables")
+    return staged(newest_of.select(*TARGET, *SIDE, "level"), "comparables")
 
 
 def spatial_comparables(targets: DataFrame, sales: DataFrame, radius: float = RADIUS_M, fetched: int = FETCHED) -> DataFrame:
     """Targets with the nearest sales within the radius, their ``level`` and ``dist_m``."""
-    joined = grid.within(with_codes(targets), sales, radius).where(_eligible()).withColumn("level", _level())
+    joined = grid.within(with_codes(targets).select(*TARGET, "parcel_id", "precinct", "municipality", "e", "n"), sales, radius).where(_eligible()).withColumn("level", _level())
     near = Window.partitionBy("target_id").orderBy("dist_m", "tx_id")
     nearest_of = joined.withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= fetched)
-    return staged(nearest_of.select(*targets.columns, *SIDE, "level", "dist_m"), "spatial-comparables")
+    return staged(nearest_of.select(*TARGET, *SIDE, "level", "dist_m"), "spatial-comparables")
 
 
 def select_segments(comps: DataFrame) -> DataFrame:
@@ -197,10 +248,12 @@ def backtest(valued: DataFrame) -> DataFrame:
     inside = F.col("actual_grosze").between(F.col("low_grosze"), F.col("high_grosze"))
     rows = valued.where("actual_grosze > 0").withColumn("error", error).withColumn("inside", inside.cast("double"))
     rows = rows.withColumn("segment", F.explode(F.array("segment", F.lit("*"))))
-    return rows.groupBy("segment").agg(
-        F.count("*").alias("n"), F.median("error").alias("mdape"), F.avg("error").alias("mape"), F.avg("inside").alias("coverage"),
+    middle = stats.quantiles(rows, ["segment"], "error", [0.5]).select("segment", F.col("q")[0].alias("mdape"))
+    found = rows.groupBy("segment").agg(
+        F.count("*").alias("n"), F.avg("error").alias("mape"), F.avg("inside").alias("coverage"),
         F.avg((F.col("error") <= 0.20).cast("double")).alias("within_20"),
     )
+    return found.join(middle, "segment")
 
 
 def fitted_slopes(sales: DataFrame, least: int = 200, bounds: tuple[float, float] = (0.4, 1.1)) -> DataFrame:

@@ -53,7 +53,7 @@ def duplicate_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (duplicate_pairs, duplicate_clusters, cluster_summary, duplicate_status, duplicate_precision)}
 
-_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_STOP = ", ".join(f"'{w}'" for w in text.stopwords())
 _PAIRS = f"""
 offers AS ({plain(OFFERS)}),
 listed AS (

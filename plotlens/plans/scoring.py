@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlens.operators import calibration as c
 from plotlens.operators import scoring as s
+from plotlens.operators import stats
 from plotlens.plans import valuation as value_plans
 from plotlens.plans.views import PLOTS, plain, plots
 from plotlens.session import staged
@@ -68,10 +69,13 @@ def active_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("score")
-    return _scored(spark, sf_dir).agg(
-        F.count("*").alias("plots"), F.count("score").alias("scored"), F.min("score").alias("lowest"), F.max("score").alias("highest"), F.median("score").alias("median"),
+    scored = _scored(spark, sf_dir)
+    middle = stats.quantiles(scored.withColumn("all", F.lit(1)), ["all"], "score", [0.5]).select(F.col("q")[0].alias("median"))
+    counts = scored.agg(
+        F.count("*").alias("plots"), F.count("score").alias("scored"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
         F.count_if(x < 30).alias("below_30"), F.count_if(x >= 70).alias("at_least_70"), F.count_if(F.col("coverage") < s.LEAST_COVERAGE).alias("thin"),
     )
+    return counts.join(F.broadcast(middle))  # a row each
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +97,7 @@ def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the first ten under twenty random weight sets."""
     scores = c.rescored(_scored(spark, sf_dir), c.random_runs(), "offer_id").where("score is not null")
-    top = scores.withColumn("place", c.position("score", "offer_id", ["run"])).where(F.col("place") <= c.TOP)
+    top = c.first_of(scores, "offer_id", c.TOP)
     base = top.where("run = 'base'").select("offer_id")
     return top.where("run <> 'base'").join(base, "offer_id", "left_semi").groupBy("run").agg((F.count("*") / c.TOP).alias("overlap"))
 

@@ -10,6 +10,7 @@ from plotlens.functions.price import within
 from plotlens.operators import changes as ch
 from plotlens.operators import offers as o
 from plotlens.operators import quality as q
+from plotlens.operators import stats
 from plotlens.plans import duplicates as duplicate_plans
 from plotlens.plans import market as market_plans
 from plotlens.plans import scoring as scoring_plans
@@ -64,11 +65,13 @@ def county_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = v.offers(spark, sf_dir).agg(
+    rows = v.offers(spark, sf_dir)
+    middle = stats.quantiles(rows.withColumn("all", F.lit(1)), ["all"], "price_grosze", [0.5]).select(F.col("q")[0].alias("median_price"))
+    out = rows.agg(
         F.count("*").alias("offers"), F.count_if("active").alias("active"), F.countDistinct("portal").alias("portals"), F.count_if(F.col("area_m2").isNull()).alias("without_area"),
-        F.median("price_grosze").alias("median_price"), F.min("first_seen").alias("first"), F.max("first_seen").alias("last"),
+        F.min("first_seen").alias("first"), F.max("first_seen").alias("last"),
     )
-    return out
+    return out.join(F.broadcast(middle))  # a row each
 
 
 def offer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +161,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.offers(spark, sf_dir)
-    return rows.select("offer_id", F.array_join(text.tokens(F.col("title")), " ").alias("tokens"), text.content_hash(F.col("area_m2"), F.col("price_grosze")).isNotNull().alias("hashed"), text.looks_like_land(F.col("title")).alias("land"))
+    return rows.select("offer_id", F.array_join(text.tokens(F.col("title")), " ").alias("tokens"), text.content_hash(F.col("area_m2"), F.col("price_grosze")).isNotNull().alias("hashed"), text.looks_like_land(F.col("title"), F.col("area_m2")).alias("land"))
 
 
 def area_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +254,7 @@ SELECT a, b, certainty, CASE WHEN a % 2 = 0 AND b % 3 = 0 THEN b % 2 = 0 END AS
 WHERE sale_date > first_seen AND sale_date <= first_seen + INTERVAL 200 DAY GROUP BY 1""",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in v.TABLES),
     "title_tokens": f"""WITH {_OFFERS} SELECT offer_id, array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(lower(title), '[^0-9a-z]+', ' ', 'g'), ' ')),
-  lambda w: length(w) > 1 AND NOT list_contains([{duplicate_plans._STOP}], w))), ' ') AS tokens, true AS hashed, true AS land FROM offers""",
+  lambda w: length(w) > 1 AND NOT list_contains([{duplicate_plans._STOP}], w))), ' ') AS tokens, true AS hashed, coalesce(area_m2 BETWEEN 50 AND 5000000, false) AS land FROM offers""",
     "page_titles": r"""SELECT page_id, md5(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title, len(string_split(html, '<a ')) - 1 AS links, regexp_extract(url, 'https?://([^/]*)', 1) AS host FROM pages""",
     "tolerance_pairs": """WITH li AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)
 SELECT a.l_linenumber, count(*) AS n, count(*) FILTER (a.price <> 0 AND b.price <> 0 AND abs(a.price - b.price) <= 0.05 * least(a.price, b.price)) AS agree

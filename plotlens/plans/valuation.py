@@ -21,10 +21,11 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _sales(spark, sf_dir)
-    return found.groupBy("tx_segment").agg(
-        F.count("*").alias("n"), F.countDistinct("tx_municipality").alias("municipalities"), F.round(F.median("tx_price_m2"), 6).alias("median"),
+    middle = stats.quantiles(found, ["tx_segment"], "tx_price_m2", [0.5]).select("tx_segment", F.round(F.col("q")[0], 6).alias("median"))
+    return middle.join(found.groupBy("tx_segment").agg(
+        F.count("*").alias("n"), F.countDistinct("tx_municipality").alias("municipalities"),
         F.min("tx_date").alias("first"), F.max("tx_date").alias("last"),
-    )
+    ), "tx_segment")
 
 
 def comparable_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ model AS (
                        THEN {_first("lower(replace(land_use, ' ', ''))", codes.LAND_USE)} END,
                   {_first("lower(replace(register_use, ' ', ''))", codes.REGISTER_USE)}, 'nieokreslona') AS tx_segment,
          {_MUNI.format('parcel_id')} AS tx_municipality, {_PREC.format('parcel_id')} AS tx_precinct
-  FROM tx WHERE share = '1/1' AND trade = 'wolnyRynek' AND price_grosze / 100.0::double / area_m2 BETWEEN 5 AND 20000)
+  FROM tx WHERE share = '1/1' AND trade = 'wolnyRynek' AND price_grosze / 100.0::double / area_m2 BETWEEN 1 AND 20000)
 """
 _SUPPLIERS = f"targets AS ({plain(TARGETS)})"
 _SAMPLED = f"""targets AS (

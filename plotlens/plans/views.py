@@ -46,7 +46,7 @@ SELECT o.o_orderkey AS offer_id,
        concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'),
               lpad(cast(c.c_custkey % 8 + 1 AS string), 2, '0'), '1') AS municipality,
        CASE c.c_mktsegment WHEN 'BUILDING' THEN 'dzialka budowlana' WHEN 'FURNITURE' THEN 'teren pod uslugi'
-            WHEN 'HOUSEHOLD' THEN 'las i laka' WHEN 'MACHINERY' THEN 'teren przemyslowy' ELSE 'grunt rolny' END AS purpose,
+            WHEN 'HOUSEHOLD' THEN 'las i laka' WHEN 'MACHINERY' THEN 'teren przemyslowy' ELSE 'pole rolne' END AS purpose,
        cast((c.c_custkey * 7919) % 100000 + o.o_orderkey % 3 * 20 AS double) AS e,
        cast((c.c_custkey * 104729) % 100000 AS double) AS n,
        CASE WHEN o.o_orderkey % 13 = 0 THEN concat('2201', lpad(cast(c.c_custkey % 40 AS string), 4, '0')) ELSE NULL END AS parcel_ref,

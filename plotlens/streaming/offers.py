@@ -1,16 +1,14 @@
-"""Streams of offer observations: change detection with keyed state, windows, replay-safe loads, alerts."""
+"""Streams of offer observations: change detection with keyed state, windows, replay-safe loads, keyed state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plotlens.operators.changes import upsert
-
 CHANGES = "portal string, offer bigint, event_id bigint, ts timestamp, change string, price double, previous double"
 
 
@@ -70,19 +68,33 @@ def sold_within(offers: DataFrame, sales: DataFrame, days: int = 200) -> DataFra
     return a.join(b, F.expr(f"a.parcel_ref = b.parcel_ref AND b.sold_at > a.first_seen AND b.sold_at <= a.first_seen + INTERVAL {days} DAYS"))
 
 
-def upsert_batches(path: str, keys: list[str], at: str):
-    """A ``foreachBatch`` function that keeps the latest row of each key in versions of a Parquet table.
+def upsert_batches(path: str, keys: list[str], at: str, run: str, buckets: int = 64):
+    """A ``foreachBatch`` function that keeps the latest row of each key in a table that only grows.
 
-    A batch reads the version before it and writes its own under the batch's number, so a batch
-    that is run again writes the same version.
+    A batch appends its own latest rows, dealt into ``buckets`` by key, under the name of the stream's
+    ``run`` and its number; nothing that is there is read or written again, and a batch that is run
+    again replaces its own rows only. ``latest_state`` reads the table, ``compact`` makes it small.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("r")).select(*keys, "r.*")
-        if number > 0:
-            latest = upsert(spark.read.parquet(f"{path}/version={number - 1}"), latest, keys)
-        latest.write.mode("overwrite").parquet(f"{path}/version={number}")
+        dealt = _latest(batch, keys, at).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={run}-{number:010d}")
 
     return write
+
+
+def _latest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("r")).select(*keys, "r.*")
+
+
+def latest_state(spark: SparkSession, path: str, keys: list[str], at: str) -> DataFrame:
+    """The latest row of each key over all batches of all runs."""
+    rows = spark.read.parquet(path)
+    return _latest(rows.drop("batch", "bucket"), keys, at)
+
+
+def compact(spark: SparkSession, path: str, into: str, keys: list[str], at: str, buckets: int = 64) -> None:
+    """Write the state as the one batch of a new table, which later runs go on with."""
+    dealt = latest_state(spark, path, keys, at).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{into}/batch=compact-{0:010d}")

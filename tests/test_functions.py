@@ -23,7 +23,10 @@ def test_price(spark, raw, want):
     assert one(spark, text.price_grosze(F.col("r")), r=raw) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("1 115 m2", 1115.0), ("12 ar", 1200.0), ("0,5 ha", 5000.0), ("30 m2", None), ("dzialka", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [
+    ("1 115 m2", 1115), ("12 ar", 1200), ("0,5 ha", 5000), ("30 m2", None), ("dzialka", None), (None, None), ("15 arów", 1500), ("2 hektary", 20_000), ("Działka 1500 m2", 1500), ("1,5 ha", 15_000),
+    ("15 a", 1500), ("1500", 1500), ("1 204 m²", 1204), ("3 mkw", None), ("9000000", None), ("12,5 ARY", 1250),
+])
 def test_area(spark, raw, want):
     assert one(spark, text.area_m2(F.col("r")), r=raw) == want
 
@@ -41,10 +44,29 @@ def test_text(spark):
     assert one(spark, text.utilities(F.lit("prąd i wodociąg przy drodze"))) == {"prad": True, "woda": True}
     assert one(spark, text.utilities(F.lit("cisza"))) is None
     assert one(spark, text.frontage(F.lit("24m x 25,5m"))) == 24.0
-    assert one(spark, text.labels(F.lit("<dt>Cena</dt><dd>1 <b>zł</b></dd><dt>cena</dt><dd>2</dd><dt>Dostęp</dt><dd>asfalt</dd>"))) == {"cena": "1 zł", "dostep": "asfalt"}
-    assert one(spark, text.sentence_with(F.lit("Ładna. Dojazd drogą asfaltową. Media."), "(?i)dojazd", "(?i)asfalt")) == "Dojazd drogą asfaltową"
+    assert one(spark, text.frontage(F.lit("24 x 25"))) is None
+    html = "<dt>Rodzaj działki:</dt><dd>rolna</dd><b>rodzaj działki: </b>x<strong>Forma własności:</strong> <i><b>pełna  własność</b></i><span>Dojazd:</span> <span>asfalt</span><b>Pusta:</b> <i></i>"
+    assert one(spark, text.labels(F.lit(html))) == {"rodzaj dzialki": "rolna", "forma wlasnosci": "pełna własność", "dojazd": "asfalt"}
+    assert one(spark, text.fold(F.lit("Ružomberok řš Ąß m²"))) == "Ruzomberok rs Aß m2"
+    for said, found in (("przyłącze elektryczne", {"prad": True}), ("przyłącze wody", {"woda": True}), ("za wodami", None), ("gaz, kanalizacja", {"gaz": True, "kanalizacja": True})):
+        assert one(spark, text.utilities(F.lit(said))) == found
+    assert one(spark, text.utilities(F.lit("gaz, prąd, szambo"), text.LABEL_UTILITIES)) == {"prad": True, "gaz": True, "szambo": True}
+    assert one(spark, text.planning_sentence(F.lit("Cisza."), F.lit("<p>Teren objęty MPZP jako <b>MN</b>. Las."))) == "MPZP jako MN"
+    assert one(spark, text.road_access(F.lit("Szybki dojazd do centrum. Wjazd z drogi o nawierzchni asfaltowej. Media."))) == "Wjazd z drogi o nawierzchni asfaltowej"
+    assert one(spark, text.road_access(F.lit("Szybki dojazd do centrum."))) is None
+    same = one(spark, F.sha2(F.lit("601234567"), 256))
+    assert [one(spark, text.phone_hash(F.lit(p))) == same for p in ("601234567", "48601234567", "0048601234567", "4860123456")] == [True, True, False, False]
+    assert one(spark, text.phone_hash(F.lit("4812345678"))) == one(spark, F.sha2(F.lit("4812345678"), 256))
+    assert [one(spark, text.area_in_title(F.lit(x))) for x in ("Działka, 1 204 m² Lipa", "Działka")] == [1204, None]
+    assert one(spark, text.area_in_text(F.lit("od 1193 m2, o pow. ok. 1 250 m2"))) == 1250
+    assert one(spark, text.area_in_page(F.lit('<title>Dom</title>"floorSize":{"value":"835.00"}'))) == 835
+    assert one(spark, text.known_codes(F.array(F.lit("building"), F.lit("orchard")), text.PLOT_TYPES, True)) == ["budowlana", "orchard"]
+    assert [one(spark, text.hash_bits(F.lit(x))) for x in ("101", "ff", "", None)] == [5, 255, None, None]
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in (("Land Area", "5"), ("", "x"), ("land area", " 7 "))])
+    assert one(spark, text.properties(pairs)) == {"land area": "7"}
     assert one(spark, text.offer_number(F.lit("https://x.example/dzialka-lipa,123456.html"))) == "123456"
-    assert not one(spark, text.looks_like_land(F.lit("Mieszkanie 3 pokoje")))
+    land = lambda t, a: one(spark, text.looks_like_land(F.lit(t).cast("string"), F.lit(a).cast("int")))
+    assert [land("Mieszkanie 3 pokoje", 900), land("Działka z halą", 900), land("Hala", 900), land("Garaz", 900), land(None, 900), land("Działka", None), land("Działka", 20)] == [False, True, False, True, True, False, False]
 
 
 def test_dates(spark):

@@ -43,13 +43,19 @@ def test_robots(spark):
     assert allowed("Bot")["s", "/private/x"] and not allowed("Bot")["s", "/a.pdf"] and allowed("Bot")["s", "/a.pdf?x"]
 
 
-def test_state_versions(spark, tmp_path):
-    write = streams.upsert_batches(str(tmp_path / "t"), ["k"], "at")
+def test_keyed_state(spark, tmp_path):
+    path, other = str(tmp_path / "t"), str(tmp_path / "u")
+    write = lambda run: streams.upsert_batches(path, ["k"], "at", run, buckets=4)
     batch = lambda rows: spark.createDataFrame(rows, "k int, x string, at int")
-    write(batch([(1, "a", 1), (1, "b", 2)]), 0)
+    state = lambda p: sorted(tuple(r) for r in streams.latest_state(spark, p, ["k"], "at").collect())
+    write("a")(batch([(1, "a", 1), (1, "b", 2)]), 0)
     for _ in range(2):  # a batch that is run again changes nothing
-        write(batch([(2, "c", 3)]), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/version=1")).collect()) == [(1, "b", 2), (2, "c", 3)]
+        write("a")(batch([(2, "c", 3)]), 1)
+    assert state(path) == [(1, "b", 2), (2, "c", 3)]
+    write("b")(batch([(1, "late", 1), (3, "d", 9)]), 0)  # a new checkpoint starts at 0 and keeps what is there
+    assert state(path) == [(1, "b", 2), (2, "c", 3), (3, "d", 9)]
+    streams.compact(spark, path, other, ["k"], "at")
+    assert state(other) == state(path)
 
 
 def test_expiry_and_late_rows(spark, tmp_path):
