@@ -30,9 +30,21 @@ def normalised(price_m2: Column, area: Column, slope: Column | float = ELASTICIT
     return F.when((price_m2 > 0) & (area > 0), value)
 
 
-def denormalised(price_norm: Column, area: Column, slope: Column | float = ELASTICITY, reference: float = REFERENCE_M2) -> Column:
-    power = (F.lit(slope) if not isinstance(slope, Column) else slope) - 1
-    return F.when((price_norm > 0) & (area > 0), price_norm * F.pow(area / reference, power))
+def denormalised(price_norm: Column, area: Column, slope: Column | float = ELASTICITY, bends=(), reference: float = REFERENCE_M2) -> Column:
+    """The inverse of ``normalised``."""
+    if not bends:
+        value = price_norm * F.pow(area / reference, (F.lit(slope) if not isinstance(slope, Column) else slope) - 1)
+    else:
+        value = price_norm * F.exp(curve(F.log(area), slope, bends) - curve(F.lit(math.log(reference)), slope, bends)) * reference / area
+    return F.when((price_norm > 0) & (area > 0), value)
+
+
+def local_elasticity(area: Column, slope: Column | float = ELASTICITY, bends: tuple[tuple[float, float], ...] = ()) -> Column:
+    """The slope of the curve at an area."""
+    out = F.lit(0.0) + slope
+    for at, delta in bends:
+        out = out + F.when(area > at, delta).otherwise(0.0)
+    return F.when(area > 0, out)
 
 
 def years_between(earlier: Column, later: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ Z = {0.80: 1.2816, 0.90: 1.6449, 0.95: 1.96}
 NEIGHBOURS, GEOGRAPHY, MISMATCH, RADIUS_M, FETCHED = 20, 0.7, 25.0, 15_000.0, 600
 #: What a comparable brings along.
 SIDE = ("tx_id", "tx_date", "tx_area", "tx_price_m2", "tx_segment")
+#: Plot areas at which the price curve may bend.
+KNOTS = (800.0, 3000.0, 10_000.0)
 #: What of its target it carries.
 TARGET = ("target_id", "area_m2", "segment", "as_of")
 #: Levels of a comparable from wide to local.
@@ -263,3 +268,61 @@ def fitted_slopes(sales: DataFrame, least: int = 200, bounds: tuple[float, float
     return out.withColumn("accepted", F.col("slope").between(*bounds))
 
 
+def fitted_curves(sales: DataFrame, knots: tuple[float, ...] = KNOTS, least: int = 200, beside: int = 30) -> DataFrame:
+    """``(segment, n, intercept, slope, knots, deltas, r2)``: least squares of log price on log area that bends at ``knots``.
+
+    A knot stays if ``beside`` sales lie on either side. Sums of products are formed in one
+    aggregation; only they, a few numbers a segment, are solved in a small Python step.
+    """
+    x, y = F.log("tx_area"), F.log(F.col("tx_price_m2") * F.col("tx_area"))
+    terms = [F.lit(1.0), x, *[F.greatest(F.lit(0.0), x - math.log(k)) for k in knots]]
+    named = {f"x{i}": t for i, t in enumerate(terms)} | {"y": y}
+    rows = sales.where("tx_area > 0 and tx_price_m2 > 0").select(F.col("tx_segment").alias("segment"), "tx_area", *[c.alias(n) for n, c in named.items()])
+    pairs = [(a, b) for i, a in enumerate(named) for b in list(named)[i:]]
+    sums = rows.groupBy("segment").agg(
+        F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs], *[F.count_if(F.col("tx_area") > k).alias(f"over_{i}") for i, k in enumerate(knots)]
+    ).where(F.col("n") >= least)
+
+    def solve(batches):
+        for df in batches:
+            out = []
+            for r in df.to_dict("records"):
+                kept = [i for i in range(len(knots)) if min(r[f"over_{i}"], r["n"] - r[f"over_{i}"]) >= beside]
+                use = ["x0", "x1", *[f"x{i + 2}" for i in kept]]
+                at = lambda a, b, r=r: r[f"{a}_{b}"] if f"{a}_{b}" in r else r[f"{b}_{a}"]
+                left, right = np.array([[at(a, b) for b in use] for a in use]), np.array([at(a, "y") for a in use])
+                w = np.linalg.lstsq(left, right, rcond=None)[0]
+                total = r["y_y"] - r["x0_y"] ** 2 / r["n"]
+                rest = r["y_y"] - 2 * w @ right + w @ left @ w
+                out.append((r["segment"], r["n"], w[0], w[1], [float(knots[i]) for i in kept], w[2:].tolist(), 1 - rest / total if total > 0 else None))
+            yield pd.DataFrame(out, columns=["segment", "n", "intercept", "slope", "knots", "deltas", "r2"])
+
+    return sums.mapInPandas(solve, "segment string, n bigint, intercept double, slope double, knots array<double>, deltas array<double>, r2 double")
+
+
+def blended(targets: DataFrame, sales: DataFrame, confidence: float = 0.80) -> DataFrame:
+    """Model 2 with the result of model 1 as a neighbour of its own weight."""
+    prior = shrunk_median(targets, select_segments(comparables(targets, sales)), confidence).select("target_id", F.col("mu").alias("prior_mu"))
+    return nearest_neighbours(targets, select_segments(spatial_comparables(targets, sales)), confidence, prior)
+
+
+def shown_comparables(comps: DataFrame, most: int = 12) -> DataFrame:
+    """``(target_id, shown)``: the comparables that explain a value: the most local, then the closest in area, then the newest."""
+    local = F.array_position(F.array(*[F.lit(lv) for lv in LEVELS]), F.col("level"))
+    return _shown(comps, [F.desc(local), F.abs(F.log(F.col("tx_area") / F.col("area_m2"))), F.desc("tx_date"), F.col("tx_id")], most)
+
+
+def shown_neighbours(comps: DataFrame, most: int = 12) -> DataFrame:
+    """``(target_id, shown)``: the nearest comparables."""
+    return _shown(comps, [F.col("dist_m"), F.col("tx_id")], most)
+
+
+def _shown(comps: DataFrame, order: list[Column], most: int) -> DataFrame:
+    rows = comps.withColumn("place", F.row_number().over(Window.partitionBy("target_id").orderBy(*order))).where(F.col("place") <= most)
+    item = F.struct("place", "tx_id", "level", "tx_date", "tx_area", "tx_price_m2")
+    return rows.groupBy("target_id").agg(F.array_sort(F.collect_list(item)).alias("shown"))
+
+
+def relative_spread(sigma: Column) -> Column:
+    """The typical error of a value as a share of it."""
+    return F.exp(sigma) - 1

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.plans import duplicates, layers, market, scoring, streams, surfaces, valuation
+from plotlens.plans import duplicates, enrichment, layers, market, scoring, streams, surfaces, valuation
 
-MODULES = [market, valuation, scoring, duplicates, surfaces, streams, layers]
+MODULES = [market, valuation, scoring, duplicates, surfaces, streams, layers, enrichment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
