@@ -11,8 +11,8 @@ from plotlens.operators import valuation as v
 from plotlens.plans.market import _first
 from plotlens.plans.views import OFFERS, TARGETS, TX, offers, plain, targets, transactions
 
-#: Transactions that a backtest values.
-SAMPLE = 150
+#: The share of all model-grade sales that a backtest values: those whose MD5 starts with these digits, one of 256.
+SHARE = "00"
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +100,12 @@ def normalisation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reproducible sample of model-grade sales as targets: their own date is the valuation date."""
+    """A share of the model-grade sales, by hash, as targets: their own date is the valuation date."""
     rows = _sales(spark, sf_dir).select(
         F.col("tx_id").alias("target_id"), F.col("tx_parcel").alias("parcel_id"), F.col("tx_area").alias("area_m2"), "e", "n", F.col("tx_segment").alias("segment"),
         F.col("tx_date").alias("as_of"), F.bround(F.col("tx_price_m2") * F.col("tx_area") * 100).cast("bigint").alias("actual_grosze"),
     )
-    return rows.orderBy(F.md5(F.col("target_id").cast("binary")), "target_id").limit(SAMPLE)
+    return rows.where(F.md5(F.col("target_id").cast("binary")).startswith(SHARE))
 
 
 def backtest_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +120,38 @@ def backtest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment", "n", *[F.round(c, 5).alias(c) for c in ("mdape", "mape", "coverage", "within_20")])
 
 
+def backtest_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _sample(spark, sf_dir)
+    out = v.backtest(v.blended(t, _sales(spark, sf_dir)))
+    return out.select("segment", "n", *[F.round(c, 5).alias(c) for c in ("mdape", "mape", "coverage", "within_20")])
+
+
+def shown_comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve sales that explain each value of model 1."""
+    chosen = v.select_segments(v.comparables(targets(spark, sf_dir), _sales(spark, sf_dir)))
+    return v.shown_comparables(chosen).select("target_id", F.explode("shown").alias("s")).select("target_id", "s.place", "s.tx_id", "s.level")
+
+
+def shown_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = v.spatial_comparables(targets(spark, sf_dir), _sales(spark, sf_dir))
+    return v.shown_neighbours(near).select("target_id", F.explode("shown").alias("s")).select("target_id", "s.place", "s.tx_id")
+
+
+def fitted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price curves with bends by segment; least squares leave residuals that are orthogonal to every term, to six places of their size."""
+    sales = _sales(spark, sf_dir)
+    curves = v.fitted_curves(sales)
+    x, y = F.log("tx_area"), F.log(F.col("tx_price_m2") * F.col("tx_area"))
+    bends = F.aggregate(F.arrays_zip("knots", "deltas"), F.lit(0.0), lambda a, k: a + F.greatest(F.lit(0.0), x - F.log(k["knots"])) * k["deltas"])
+    rows = sales.join(curves, sales["tx_segment"] == curves["segment"]).withColumn("rest", y - F.col("intercept") - F.col("slope") * x - bends)
+    off = [F.sum(F.col("rest") * t) / F.count("*") for t in (F.lit(1.0), x, F.greatest(F.lit(0.0), x - F.log(F.lit(v.KNOTS[0]))), F.greatest(F.lit(0.0), x - F.log(F.lit(v.KNOTS[1]))))]
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.max(F.size("knots")).alias("bends"), F.round(F.greatest(*[F.abs(o) for o in off]), 6).alias("off"), F.round(1 - F.var_pop("rest") / F.var_pop(y) - F.max("r2"), 6).alias("r2_off"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        model_sales, comparable_levels, value_by_medians, value_by_neighbours, value_blended, deal_scores, nearest_sale, sales_within, density_tiles,
+        backtest_blended, shown_comparables, shown_neighbours, fitted_curves, model_sales, comparable_levels, value_by_medians, value_by_neighbours, value_blended, deal_scores, nearest_sale, sales_within, density_tiles,
         fitted_slopes, normalisation_check, backtest_medians, backtest_neighbours,
     )
 }
@@ -144,7 +172,7 @@ _SUPPLIERS = f"targets AS ({plain(TARGETS)})"
 _SAMPLED = f"""targets AS (
   SELECT tx_id AS target_id, tx_parcel AS parcel_id, tx_area AS area_m2, e, n, tx_segment AS segment, tx_date AS as_of,
          round_even(tx_price_m2 * tx_area * 100, 0)::bigint AS actual_grosze
-  FROM model ORDER BY md5(tx_id), tx_id LIMIT {SAMPLE})"""
+  FROM model WHERE starts_with(md5(tx_id), '{SHARE}'))"""
 _WIDEN = "widening AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {i + 1})" for k, vs in codes.WIDENING.items() for i, s in enumerate(vs)) + ") w(segment, other, place))"
 _ELIGIBLE = """tx_date <= as_of AND tx_date >= as_of - INTERVAL 1080 DAY AND tx_area >= floor(area_m2 / 8) AND tx_area <= floor(area_m2 * 8)
   AND tx_parcel IS DISTINCT FROM parcel_id"""
@@ -315,3 +343,13 @@ SELECT tx_segment, round(corr(x, y), 7) AS before, round(corr(x, z), 7) + 0 AS a
     "backtest_medians": f"{_HEAD_SAMPLE}, {_M1} {_tested('one')}",
     "backtest_neighbours": f"{_HEAD_SAMPLE}, {_M2} {_tested('two')}",
 }
+_BLEND = " UNION ALL SELECT target_id, mu, aw * 6 FROM one JOIN (SELECT target_id, avg(w) AS aw FROM weighted GROUP BY 1) USING (target_id)"
+SQL |= {
+    "backtest_blended": f"{_HEAD_SAMPLE}, {_M1}, {_TWO_INPUT}, {_two(_BLEND)} {_tested('two')}",
+    "shown_comparables": f"""{_HEAD}, {_COMPS}, {_CHOSEN}
+SELECT target_id, place::int AS place, tx_id, level FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY list_position(['wojewodztwo', 'powiat', 'gmina', 'obreb'], level) DESC, abs(ln(tx_area / area_m2)), tx_date DESC, tx_id) AS place FROM chosen) WHERE place <= 12""",
+    "shown_neighbours": f"{_HEAD}, {_NEAR} SELECT target_id, k::int AS place, tx_id FROM comps WHERE k <= 12",
+    "fitted_curves": f"""WITH {_MODEL} SELECT tx_segment AS segment, count(*) AS n, (count(*) FILTER (tx_area > 800) >= 30 AND count(*) FILTER (tx_area <= 800) >= 30)::int + (count(*) FILTER (tx_area > 3000) >= 30 AND count(*) FILTER (tx_area <= 3000) >= 30)::int
+  + (count(*) FILTER (tx_area > 10000) >= 30 AND count(*) FILTER (tx_area <= 10000) >= 30)::int AS bends, 0.0::double AS off, 0.0::double AS r2_off FROM model GROUP BY 1 HAVING count(*) >= 200""",
+}
