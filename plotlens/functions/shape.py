@@ -70,6 +70,6 @@ def measures(ring: Column, rect: Column, listed_front: Column) -> Column:
     flags = F.array_compact(F.array(F.when(front < NARROW_M, F.lit("narrow_front")), F.when(slender > SLENDER, F.lit("slender")), F.when(compact < ODD, F.lit("odd_shape"))))
     return F.struct(
         F.when(known, geo.area(ring)).alias("area_m2"), F.when(known, geo.perimeter(ring)).alias("perimeter_m"), front.alias("front_m"),
-        F.when(F.nullif(listed_front, F.lit(0.0)).isNotNull(), "ogloszenie").when(short.isNotNull(), "geometria").alias("front_source"), F.when(known, rect["long"]).alias("length_m"),
+        F.when(F.nullif(listed_front, F.lit(0.0)).isNotNull(), "ogloszenie").when(short.isNotNull(), "geometria (proxy)").alias("front_source"), F.when(known, rect["long"]).alias("length_m"),
         slender.alias("slenderness"), compact.alias("compactness"), F.when(known, rect["azimuth"]).alias("azimuth"), F.when(known, F.try_divide(geo.area(ring), rect["area"])).alias("fill"), flags.alias("flags"),
     )

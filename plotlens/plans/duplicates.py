@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from plotlens.functions import text
 from plotlens.operators import duplicates as d
-from plotlens.plans.views import OFFERS, offers, plain
+from plotlens.plans.views import OFFERS, plain
+from plotlens.plans.views import view as _view
+
+
+#: Offers with pictures and phones: a picture of some shared by neighbours, hashes that differ in a few bits, phones of agents.
+PICTURED = f"""
+SELECT o.*, CASE WHEN o.offer_id % 9 = 0 THEN concat('https://x.example/', cast(o.offer_id // 27 AS string), '.jpg') ELSE NULL END AS image_key,
+       CASE WHEN o.offer_id % 4 = 0 THEN NULL ELSE cast(o.e AS bigint) * 1048576 + CASE o.offer_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 255 WHEN 3 THEN 1023 ELSE 65535 END END AS image_hash,
+       CASE WHEN o.offer_id % 3 = 0 THEN NULL ELSE concat('agent', cast(o.offer_id % 7 AS string)) END AS phone FROM ({OFFERS}) o
+"""
 
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.prepared(offers(spark, sf_dir).where("active").withColumn("parcel_sure", F.col("offer_id") % 2 == 1))
+    return d.prepared(_view(spark, sf_dir, PICTURED.replace("//", "div")).where("active").withColumn("parcel_sure", F.col("offer_id") % 2 == 1))
 
 
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +45,7 @@ def duplicate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = listed.agg(F.count("*").alias("offers"))
     m = members.agg(F.count("*").alias("clustered"), F.countDistinct("cluster_id").alias("clusters"))
     review = (F.col("certainty") < d.JOIN) | F.col("blocked")
-    p = scored.agg(F.count("*").alias("pairs"), F.count_if(review).alias("for_review"), *[F.count_if(F.col("stage") == s).alias(f"by_{s}") for s in ("plot", "image", "title", "geometry")])
+    p = scored.agg(F.count("*").alias("pairs"), F.count_if(review).alias("for_review"), *[F.count_if(F.col("stage") == s).alias(f"by_{s}") for s in ("plot", "image", "phash", "phone", "title", "geometry")])
     out = n.join(F.broadcast(m)).join(F.broadcast(p))  # a row each
     return out.withColumn("duplicate_share", F.round((F.col("clustered") - F.col("clusters")) / F.col("offers"), 8))
 
@@ -55,45 +64,49 @@ QUERIES = {f.__name__: f for f in (duplicate_pairs, duplicate_clusters, cluster_
 
 _STOP = ", ".join(f"'{w}'" for w in text.stopwords())
 _PAIRS = f"""
-offers AS ({plain(OFFERS)}),
+offers AS ({plain(OFFERS)}), pictured AS ({plain(PICTURED)}),
 listed AS (
-  SELECT offer_id, portal, e, n, area_m2, price_grosze, parcel_ref, offer_id % 2 = 1 AS sure,
+  SELECT offer_id, portal, e, n, area_m2, price_grosze, parcel_ref, offer_id % 2 = 1 AS sure, image_key, image_hash, phone,
          list_filter(list_distinct(string_split(regexp_replace(lower(title), '[^0-9a-z]+', ' ', 'g'), ' ')), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)) AS tokens
-  FROM offers WHERE active),
+  FROM pictured WHERE active),
 pairs AS (
   SELECT a.offer_id AS a, b.offer_id AS b FROM listed a JOIN listed b ON floor(b.e / 500) BETWEEN floor(a.e / 500) - 1 AND floor(a.e / 500) + 1 AND floor(b.n / 500) BETWEEN floor(a.n / 500) - 1 AND floor(a.n / 500) + 1
   WHERE a.offer_id < b.offer_id
-  UNION SELECT a.offer_id, b.offer_id FROM listed a JOIN listed b ON a.parcel_ref = b.parcel_ref AND a.sure AND b.sure WHERE a.offer_id < b.offer_id),
+  UNION SELECT a.offer_id, b.offer_id FROM listed a JOIN listed b ON a.parcel_ref = b.parcel_ref AND a.sure AND b.sure WHERE a.offer_id < b.offer_id
+  UNION SELECT a.offer_id, b.offer_id FROM listed a JOIN listed b ON a.image_key = b.image_key WHERE a.offer_id < b.offer_id),
 features AS (
-  SELECT p.a, p.b, coalesce(x.parcel_ref = y.parcel_ref AND x.sure AND y.sure, false) AS plot, sqrt((x.e - y.e) * (x.e - y.e) + (x.n - y.n) * (x.n - y.n)) AS far,
+  SELECT p.a, p.b, coalesce(x.parcel_ref = y.parcel_ref AND x.sure AND y.sure, false) AS plot, coalesce(x.image_key = y.image_key, false) AS pic,
+         CASE WHEN bit_count(xor(x.image_hash, y.image_hash)) <= 2 THEN 0.55 WHEN bit_count(xor(x.image_hash, y.image_hash)) <= 8 THEN 0.45 ELSE 0 END::double AS hashed,
+         CASE WHEN x.phone = y.phone THEN 0.25 ELSE 0 END::double AS called, sqrt((x.e - y.e) * (x.e - y.e) + (x.n - y.n) * (x.n - y.n)) AS far,
          CASE WHEN abs(x.area_m2 - y.area_m2) <= 0.03 * least(x.area_m2, y.area_m2) THEN 0.35 ELSE 0 END::double AS area,
          CASE WHEN abs(x.price_grosze - y.price_grosze) <= 0.05 * least(x.price_grosze, y.price_grosze) THEN 0.10 ELSE 0 END::double AS cost,
          len(list_intersect(x.tokens, y.tokens)) / nullif(least(len(x.tokens), len(y.tokens)), 0)::double AS cover,
          x.portal = y.portal AND coalesce(x.area_m2 <> y.area_m2, true) AS odd
   FROM pairs p JOIN listed x ON x.offer_id = p.a JOIN listed y ON y.offer_id = p.b),
-points AS (
-  SELECT *, CASE WHEN cover >= 0.75 THEN 0.30 WHEN cover >= 0.55 THEN 0.15 ELSE 0 END::double AS title,
-         round(area + cost + (CASE WHEN cover >= 0.75 THEN 0.30 WHEN cover >= 0.55 THEN 0.15 ELSE 0 END)::double + CASE WHEN far <= 50 THEN 0.10 ELSE 0 END::double, 9) AS points FROM features),
+titled AS (SELECT *, CASE WHEN cover >= 0.75 THEN 0.30 WHEN cover >= 0.55 THEN 0.15 ELSE 0 END::double AS title FROM features),
+points AS (SELECT *, round(area + hashed + called + title + cost + CASE WHEN far <= 50 THEN 0.10 ELSE 0 END::double, 9) AS points FROM titled),
 scored AS (
-  SELECT a, b, CASE WHEN plot THEN 1 ELSE least(1, round_even(points, 3)) END::double AS certainty, CASE WHEN plot THEN 'plot' WHEN title > 0 THEN 'title' ELSE 'geometry' END AS stage, NOT plot AND odd AS blocked
-  FROM points WHERE plot OR (far <= 300 AND points >= 0.5))
+  SELECT a, b, CASE WHEN plot OR pic THEN 1 ELSE least(1, round_even(points, 3)) END::double AS certainty,
+         CASE WHEN plot THEN 'plot' WHEN pic THEN 'image' WHEN hashed > 0 AND hashed >= called AND hashed >= title THEN 'phash' WHEN title > 0 AND title >= called THEN 'title' WHEN called > 0 THEN 'phone' ELSE 'geometry' END AS stage,
+         NOT plot AND NOT pic AND odd AND hashed = 0 AND called = 0 AS blocked
+  FROM points WHERE plot OR pic OR (far <= 300 AND points >= 0.5))
 """
 _MEMBERS = f"""{_PAIRS},
-edges AS (SELECT a, b FROM scored WHERE certainty >= 0.7 AND NOT blocked),
-both_ AS (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges),
+edges AS MATERIALIZED (SELECT a, b FROM scored WHERE certainty >= 0.7 AND NOT blocked),
+both_ AS MATERIALIZED (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges),
 walk(u, v) AS (SELECT u, u FROM both_ UNION SELECT w.u, e.v FROM walk w JOIN both_ e ON e.u = w.v),
-members AS (SELECT u AS offer_id, min(v) AS cluster_id FROM walk GROUP BY 1)
+members AS MATERIALIZED (SELECT u AS offer_id, min(v) AS cluster_id FROM walk GROUP BY 1)
 """
 SQL = {
     "duplicate_pairs": f"WITH {_PAIRS} SELECT * FROM scored",
     "duplicate_clusters": f"WITH RECURSIVE {_MEMBERS} SELECT * FROM members",
     "cluster_summary": f"""WITH RECURSIVE {_MEMBERS},
-rows_ AS (SELECT l.*, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY (area_m2 IS NOT NULL)::int + (price_grosze <> 0)::int + (parcel_ref IS NOT NULL)::int DESC, nullif(price_grosze, 0), offer_id) AS k FROM listed l JOIN members USING (offer_id))
+rows_ AS (SELECT l.*, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY (area_m2 IS NOT NULL)::int + (price_grosze <> 0)::int + (image_hash IS NOT NULL)::int + (parcel_ref IS NOT NULL)::int DESC, nullif(price_grosze, 0), offer_id) AS k FROM listed l JOIN members USING (offer_id))
 SELECT cluster_id, count(*) AS members, array_to_string(list_sort(list(DISTINCT portal)), ',') AS portals, max(offer_id) FILTER (k = 1) AS canonical, min(nullif(price_grosze, 0)) AS price_low,
        max(nullif(price_grosze, 0)) AS price_high, round((max(nullif(price_grosze, 0)) - min(nullif(price_grosze, 0))) / min(nullif(price_grosze, 0))::double, 8) AS price_spread FROM rows_ GROUP BY 1""",
     "duplicate_status": f"""WITH RECURSIVE {_MEMBERS},
 m AS (SELECT count(*) AS clustered, count(DISTINCT cluster_id) AS clusters FROM members), n AS (SELECT count(*) AS offers FROM listed)
-SELECT offers, clustered, clusters, count(*) AS pairs, count(*) FILTER (certainty < 0.7 OR blocked) AS for_review, count(*) FILTER (stage = 'plot') AS by_plot, count(*) FILTER (stage = 'image') AS by_image,
+SELECT offers, clustered, clusters, count(*) AS pairs, count(*) FILTER (certainty < 0.7 OR blocked) AS for_review, count(*) FILTER (stage = 'plot') AS by_plot, count(*) FILTER (stage = 'image') AS by_image, count(*) FILTER (stage = 'phash') AS by_phash, count(*) FILTER (stage = 'phone') AS by_phone,
        count(*) FILTER (stage = 'title') AS by_title, count(*) FILTER (stage = 'geometry') AS by_geometry, round((clustered - clusters) / offers::double, 8) AS duplicate_share
 FROM scored, m, n GROUP BY offers, clustered, clusters""",
     "duplicate_precision": f"""WITH {_PAIRS},

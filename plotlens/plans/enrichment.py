@@ -248,7 +248,7 @@ SELECT offer_id, array_to_string(list_sort(list_filter(['planning', CASE WHEN us
   lact IS NOT NULL AS local_plan, lact AS local_act, gact IS NOT NULL AS general_plan, gact AS act, zone, infill, limit_ AS height_limit,
   coalesce(array_to_string(list_filter(['q10', 'q1', 'hWZ', 'q0_2'], lambda x: list_contains(fl, x)), ','), '') AS floods, round(CASE WHEN own > 0 THEN h END, 6)::double AS height,
   CASE WHEN own > 0 AND held = 9 THEN round(100 * sqrt(0.03 * 0.03 + 0.01 * 0.01)::double, 6) END AS slope, round(front, 6) AS front_m,
-  CASE WHEN listed_front IS NOT NULL THEN 'ogloszenie' WHEN front IS NOT NULL THEN 'geometria' END AS front_source, CASE WHEN served THEN CASE WHEN w <= 50 THEN '<=50m' WHEN w <= 200 THEN '50-200m' ELSE '>200m' END END AS water,
+  CASE WHEN listed_front IS NOT NULL THEN 'ogloszenie' WHEN front IS NOT NULL THEN 'geometria (proxy)' END AS front_source, CASE WHEN served THEN CASE WHEN w <= 50 THEN '<=50m' WHEN w <= 200 THEN '50-200m' ELSE '>200m' END END AS water,
   CASE WHEN served THEN CASE WHEN p <= 50 THEN 4500 WHEN p <= 200 THEN 11500 ELSE 25000 END + CASE WHEN w <= 50 THEN 8000 WHEN w <= 200 THEN 17500 ELSE 21000 END + CASE WHEN s <= 50 THEN 7500 WHEN s <= 200 THEN 17500 ELSE 16500 END
     + CASE WHEN g <= 50 THEN 5500 WHEN g <= 200 THEN 14000 ELSE 35000 END END AS utility_cost, parcel_id, match, area AS parcel_area_m2, {_COVER} AS coverage FROM fin""",
     "enrichment_failures": f"""WITH {_MATCH}, n AS (SELECT count(*) AS n, count(*) FILTER (served) AS served, count(*) FILTER (usable OR only_front) AS parcel FROM fin)

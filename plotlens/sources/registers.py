@@ -127,7 +127,7 @@ def read_lookups(spark: SparkSession, path: str, fields: tuple[str, ...]) -> Dat
     A negative status says that nothing was found and gives no row. ``problem`` names an empty reply,
     an unknown status, a reply without its row or with too few fields, and a row without an id.
     """
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     text = spark.read.text(path, wholetext=True).select(lines.alias("lines"), F.col("_metadata.file_name").alias("file"))
     status = F.split(F.get("lines", F.lit(0)), r"\s+")[0].try_cast("int")
     cells = F.split(F.get("lines", F.lit(1)), r"\|")
