@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotlens.functions import codes, text
 from plotlens.functions.price import within
 from plotlens.operators import changes as ch
+from plotlens.operators import kinds
 from plotlens.operators import offers as o
 from plotlens.operators import quality as q
 from plotlens.operators import stats
@@ -24,7 +25,7 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = scoring_plans._scored(spark, sf_dir).select("offer_id", "score", "coverage", "status", "infill", "frontage", "slope", "utility_cost", "floods")
     market = market_plans.offer_market(spark, sf_dir).select("offer_id", "norm", "median_level", "deviation")
     members = duplicate_plans.duplicate_clusters(spark, sf_dir)
-    listed = v.offers(spark, sf_dir).where("active").withColumn("kind", codes.ad_segment(F.lower("purpose")))
+    listed = kinds.with_kind(v.offers(spark, sf_dir).where("active").withColumn("zone", F.lit(None).cast("string")))
     return o.star(listed, scores, market, members).withColumn("deal", -F.col("deviation"))
 
 
@@ -204,6 +205,8 @@ QUERIES = {
 _OFFERS = f"offers AS ({v.plain(v.OFFERS)})"
 _TX = f"tx AS ({v.plain(v.TX)})"
 _KIND = market_plans._first("lower(purpose)", codes.AD_TEXT)
+_PLOT_KIND = """CASE WHEN contains(purpose, 'budowlan') THEN 'mieszkaniowa' WHEN contains(purpose, 'przemyslow') THEN 'przemyslowa' WHEN contains(title, 'budowlana') OR contains(title, 'siedliskowa') THEN 'mieszkaniowa'
+  WHEN contains(title, 'lesna') THEN 'lesna' END"""
 _MARKET_SQL = market_plans.SQL["offer_market"].replace("WITH ", "", 1)
 _MARKET_CTES, _MARKET_LAST = _MARKET_SQL.rsplit("\nSELECT offer_id, portal", 1)
 _MEMBERS = duplicate_plans._MEMBERS.replace(f"offers AS ({v.plain(v.OFFERS)}),", "", 1)
@@ -211,7 +214,7 @@ _MEMBERS = _MEMBERS.replace("scored AS (", "pair_scored AS (").replace("FROM sco
 _SCORED = scoring_plans._SCORED
 _STAR = f"""WITH RECURSIVE {_MARKET_CTES}, offer_market AS (SELECT offer_id, portal{_MARKET_LAST}), {_MEMBERS}, {_SCORED},
 star AS (
-  SELECT f.offer_id, f.portal, f.price_grosze, f.area_m2, f.municipality, {_KIND} AS kind, g.status, s.score, s.coverage, g.infill, g.flood, m.deviation, c.cluster_id
+  SELECT f.offer_id, f.portal, f.price_grosze, f.area_m2, f.municipality, {_PLOT_KIND} AS kind, g.status, s.score, s.coverage, g.infill, g.flood, m.deviation, c.cluster_id
   FROM offers f LEFT JOIN scored s USING (offer_id) LEFT JOIN gates g USING (offer_id) LEFT JOIN offer_market m USING (offer_id) LEFT JOIN members c USING (offer_id) WHERE f.active),
 f1 AS (SELECT * FROM star WHERE area_m2 BETWEEN 500 AND 2000 AND portal IN ('alfa', 'beta') AND deviation <= 0.5),
 f2 AS (SELECT * FROM star WHERE price_grosze <= 120000000 AND (starts_with(municipality, '02') OR starts_with(municipality, '0408')) AND (cluster_id IS NULL OR cluster_id = offer_id)),
@@ -266,3 +269,21 @@ FROM (SELECT 'text' AS c, text AS t FROM documents UNION ALL SELECT 'lang', lang
 SQL["area_codes"] = f"""WITH {_TX} SELECT substr(parcel_id, 1, 6) || substr(parcel_id, 8, 1) AS municipality, split_part(parcel_id, '.', 1) || '.' || split_part(parcel_id, '.', 2) AS precinct,
   coalesce(CASE WHEN lower(replace(land_use, ' ', '')) NOT IN ('brakmpzplubwz', 'innyniewymieniony') THEN {market_plans._first("lower(replace(land_use, ' ', ''))", codes.LAND_USE)} END,
            {market_plans._first("lower(replace(register_use, ' ', ''))", codes.REGISTER_USE)}, 'nieokreslona') AS segment, count(*) AS n FROM tx GROUP BY ALL"""
+_FOUND = f"(^|[^0-9A-Za-z]){_PHONE}([^0-9]|$)"
+
+
+def _without_phones(column: str) -> str:
+    """Twice, as neighbouring numbers share the character between them; the groups around a number are its first and fourth."""
+    once = f"regexp_replace({column}, '{_FOUND}', '\\1{q.PHONE_MARK}\\4', 'g')"
+    return f"regexp_replace({once}, '{_FOUND}', '\\1{q.PHONE_MARK}\\4', 'g')"
+
+
+def _marks(column: str) -> str:
+    return f"((length({column}) - length(replace({column}, '{q.PHONE_MARK}', ''))) // {len(q.PHONE_MARK)})"
+
+
+_CLEAN = _without_phones(f"regexp_replace(text, '{_EMAIL}', '{q.EMAIL_MARK}', 'g')")
+SQL["scrubbed_documents"] = f"SELECT doc_id, md5({_CLEAN}) AS clean, {_CLEAN} <> text AS changed FROM documents"
+SQL["scrub_residue"] = f"""WITH d AS (SELECT text, {_CLEAN} AS clean, {_without_phones('text')} AS bare FROM documents), e AS (SELECT *, {_without_phones('clean')} AS again FROM d)
+SELECT sum(len(regexp_extract_all(text, '{_EMAIL}')) + {_marks('bare')} - {_marks('text')})::bigint AS before, sum(len(regexp_extract_all(clean, '{_EMAIL}')) + {_marks('again')} - {_marks('clean')})::bigint AS after,
+  count(*) FILTER (again <> clean) AS unstable FROM e"""
