@@ -42,7 +42,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], name:
     hit = values.select(*keys, "n", "__v", F.explode(F.filter("ranks", lambda r: (r >= F.col("hi") - F.col("c")) & (r < F.col("hi")))).alias("rank"))
     found = hit.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "__v"))).alias("__at"))
     value_at = lambda r: F.element_at("__at", r.cast("bigint"))
-    linear = [value_at(F.floor(a)) + (value_at(F.ceil(a)) - value_at(F.floor(a))) * (a - F.floor(a)) for a in at]
+    def between(a: Column) -> Column:
+        low, high, part = value_at(F.floor(a)), value_at(F.ceil(a)), a - F.floor(a)
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+    linear = [between(a) for a in at]
     out = staged(found.select(*keys, "n", F.array(*linear).alias(name)), "quantiles")
     drop_staged(hist, wanted)
     return out
