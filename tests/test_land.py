@@ -30,7 +30,7 @@ def test_kinds_of_zones_and_purposes(spark):
     assert every(spark, kinds.of_purpose, list(said)) == list(said.values())
     titles = {
         "Działka na sprzedaż, 1508 m² Smołdzino, Smołdziński Las": None, "Działka na sprzedaż, 926 m² Leśniewo, Kwiatowa": None, "Działka na sprzedaż, 570 m² Smolno, Leśna": None,
-        "Działka budowlana 800 m², ul. Leśna": "mieszkaniowa", "Sprzedam grunt leśny 3 ha": "lesna", "Dom, a działka pod magazyn": "przemyslowa", None: None,
+        "Działka budowlana 800 m², ul. Leśna": "mieszkaniowa", "Sprzedam teren leśny 3 ha": "lesna", "Dom, a działka pod magazyn": "przemyslowa", None: None,
     }
     assert every(spark, kinds.of_title, list(titles)) == list(titles.values())
     rows = spark.createDataFrame([(1, "SP", "budowlana", None), (2, None, "MPZP", "Działka budowlana 8 m"), (3, "SR", "rolna", None)], "i int, zone string, purpose string, title string")
@@ -116,7 +116,7 @@ def test_import_counters(spark):
 
 
 def test_details_of_three_layouts(spark):
-    ad = {"title": "Grunt", "slug": "dzialka-lipa-ID4Bjm4", "description": "<p>Cisza</p>", "location": {"coordinates": {"latitude": 54.1, "longitude": 18.2}}, "target": {"Type": ["building", "orchard"], "Media_types": ["gas", "fibre"], "Access_types": ["hard_surfaced"], "Price": "250000", "Area": "1115"}}
+    ad = {"title": "Teren", "slug": "dzialka-lipa-ID4Bjm4", "description": "<p>Cisza</p>", "location": {"coordinates": {"latitude": 54.1, "longitude": 18.2}}, "target": {"Type": ["building", "orchard"], "Media_types": ["gas", "fibre"], "Access_types": ["hard_surfaced"], "Price": "250000", "Area": "1115"}}
     product = {"@type": ["RealEstateListing"], "name": "Działka  Lipa", "geo": {"latitude": "54,2", "longitude": "18,3"}, "floorSize": {"value": "835.00m²"}, "datePosted": "2026-07-13CEST20:53:48Z", "additionalProperty": [{"name": "Land Area", "value": "900"}, {"name": "land dimensions", "value": "24m x 25m"}]}
     nuxt = [{"northeast": 1}, {"latitude": 5, "longitude": 5}, {"center": 3, "zoom": 0}, {"latitude": 4, "longitude": 5}, 54.3, 18.4]
     pages = {
