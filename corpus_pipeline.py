@@ -16,22 +16,27 @@ from plotlens.session import staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language; null texts and texts without letters go, repeated rows and ids stay apart. An empty table stays empty."""
     return language_id.keep_known(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text without white space: the longest, then the smallest id; a null id is larger than any other. An empty table stays empty."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id; ties and repeated rows leave one. An empty table stays empty."""
     return simhash_dedup.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated so that all sources weigh the same; nulls and ties as in ``mixing.mix``. An empty table stays empty."""
     return mixing.mix(docs, copy_col="__mix_copy").select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row that is left; repeated rows are encoded each. An empty table stays empty."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = bpe.encode(docs, ranks, decoded=True)
     return out.select(
@@ -55,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; extra columns go through to the last stage, whatever they are called."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
