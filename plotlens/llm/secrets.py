@@ -109,6 +109,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, spans)`` of every row: its spans by start and kind, each with its class, owners and repositories.
 
     A null text counts as empty; repeated rows give repeated results; an empty table an empty one.
+    Spans of one start stand in the order of their kinds; a null owner is an owner of its own.
     """
     found = find_candidates(docs, id_col, text_col, owner_col, repo_col)
     classes = staged(ownership(found), "secret-classes")

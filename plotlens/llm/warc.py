@@ -173,7 +173,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     ``main`` is the response or revisit record. A request or metadata record belongs to it when
     one names the other in its concurrent-to, or when a metadata record names a request that
-    belongs to it. Records repeated in full are one capture with ``copies`` above 1.
+    belongs to it. Records repeated in full are one capture with ``copies`` above 1. A capture
+    without requests or metadata has none; records that name no capture are left out; an empty
+    table gives an empty result.
     """
     own = [c for c in records.columns if c not in ("type", "record_id")]
     record = F.struct("type", "record_id", *own)
