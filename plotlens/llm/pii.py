@@ -59,7 +59,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MASKED = re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]{1,64} ?[(\[ ]dot[)\] ] ?[A-Za-z]{2,12}\b", re.A)
+#: Possessive repeats between fixed words keep the search linear, so no part needs a longest length.
+_MASKED = re.compile(r"(?<![\w.+-])[\w.+-]++ ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]++ ?[(\[ ]dot[)\] ] ?[A-Za-z]{2,}+\b", re.A)
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", re.A)
 _LOCAL_PHONE = re.compile(r"(?<![\w+.)-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-])", re.A)
 _DIGITS = re.compile(r"[^0-9]+")

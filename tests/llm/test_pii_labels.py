@@ -53,3 +53,9 @@ def test_labelers_abstain():
     assert pii._gazetteer("card", "2221 0000 0000 0009") == 1 and pii._gazetteer("card", "1234 5678 9012 3456") == -1
     assert pii._gazetteer("ip", "192.168.0.1") == -1 and pii._gazetteer("ip", "97.51.17.173") == 1
     assert pii._context("phone", "please CALL me") == 1 and pii._context("phone", "invoice") == -1 and pii._context("phone", "grass") == 0
+
+
+def test_masked_mail_of_any_length():
+    long = f"{'a' * 5000} (at) {'b' * 300} (dot) museum"
+    assert [(k, a, b) for k, a, b, *_ in pii.candidates(f"see {long}.")] == [("email", 4, 4 + len(long))]
+    assert pii.candidates("x" * 200_000 + " at " + "y" * 200_000) == []
