@@ -5,15 +5,17 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache, reduce
-from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Polish letters with marks and the plain ones they fold to.
 POLISH, PLAIN = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
-#: Words of a title that say nothing about a plot, one on a line.
-STOPWORDS_FILE = Path(__file__).parent.parent / "data" / "title_stopwords.txt"
+#: Words of a title that say nothing about a plot.
+STOPWORDS = (
+    "dzialka", "dzialki", "dzialke", "grunt", "gruntu", "teren", "na", "nad", "pod", "przy", "w", "we", "z", "za", "do", "i", "oraz",
+    "sprzedam", "sprzedaz", "sprzedazy", "oferta", "okazja", "polecam", "m2", "mkw", "ar", "ary", "arow", "ha", "zl", "pln",
+)
 #: Building symbols of local plans, longest first, and building zones of general plans.
 LOCAL_SYMBOLS = ("MNU", "MN", "MW", "MU", "UM", "RM", "MP", "ML", "U")
 BUILDING_ZONES = ("SW", "SJ", "SZ", "SU", "SH", "SP")
@@ -29,6 +31,11 @@ NOT_LAND = ("mieszkanie", "apartament", "kawalerka", "lokal", "hala", "garaż")
 PLANNING = r"(?i)(?:MPZP|plan(?:em|u)? (?:miejscow|zagospodarowania))[^.]{0,160}"
 ACCESS = r"(?i)[^.]{0,80}(?:dojazd|droga dojazdowa|wjazd|przy drodze|przy drog[ae])[^.]{0,120}"
 SURFACE = r"(?i)asfalt|utwardz|szutrow|gruntow|droga (?:gminn|powiatow|publiczn|wewnetrzn)|slepa|serwitut|sluzebnos"
+#: A pattern of an area in a title, behind a word for it in a text, and at three places of a page; a label and its value.
+AREA_IN_TITLE = r"(\d[\d\s\u00a0]*)\s*m²"
+AREA_IN_TEXT = r"(?i)pow(?:ierzchni[aei])?\.?\s*(?:ok\.?\s*)?(\d[\d\s\u00a0]*)\s*m[²2]"
+AREA_IN_PAGE = (r"<title>[^<]*?(\d[\d\s\u00a0]*)\s*m²", r'"floorSize"[^}]*?"value"\s*:\s*"?([\d.,]+)', r"(\d[\d\s\u00a0]*)\s*m²\s*</")
+LABEL = r"<(?:span|strong|b|dt|th)[^>]*>\s*([A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż ]{3,28}):\s*</(?:span|strong|b|dt|th)>\s*(?:<[^>]+>\s*)*([^<]{1,80})"
 #: Codes of a portal's fields and the words for them.
 PLOT_TYPES = {
     "building": "budowlana", "agricultural": "rolna", "recreational": "rekreacyjna", "investment": "inwestycyjna", "industrial": "przemyslowa", "habitat": "siedliskowa", "forest": "lesna",
@@ -64,16 +71,11 @@ def fold_polish(text: Column) -> Column:
     return F.translate(text, POLISH, PLAIN)
 
 
-@lru_cache(1)
-def stopwords() -> tuple[str, ...]:
-    return tuple(STOPWORDS_FILE.read_text(encoding="utf-8").split())
-
-
-def tokens(title: Column, dropped: tuple[str, ...] | None = None) -> Column:
+def tokens(title: Column, dropped: tuple[str, ...] = STOPWORDS) -> Column:
     """The distinct telling words of a title, sorted; a null title has none."""
     words = F.split(F.regexp_replace(F.lower(fold(F.coalesce(title, F.lit("")))), "[^0-9a-z]+", " "), " ")
     kept = F.filter(words, lambda w: F.length(w) > 1)
-    return F.array_sort(F.array_distinct(F.array_except(kept, F.array(*[F.lit(w) for w in dropped or stopwords()]))))
+    return F.array_sort(F.array_distinct(F.array_except(kept, F.array(*[F.lit(w) for w in dropped]))))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -204,19 +206,18 @@ def frontage(text: Column) -> Column:
 
 def area_in_title(title: Column) -> Column:
     """``1 204 m²`` anywhere in a title."""
-    return field_m2(F.nullif(F.regexp_replace(F.regexp_extract(title, r"(\d[\d\s\u00a0]*)\s*m²", 1), r"\s", ""), F.lit("")))
+    return field_m2(F.nullif(F.regexp_replace(F.regexp_extract(title, AREA_IN_TITLE, 1), r"\s", ""), F.lit("")))
 
 
 def area_in_text(text: Column) -> Column:
     """The first area behind a word for it, as in ``o pow. ok. 1250 m2``."""
-    found = F.regexp_extract(text, r"(?i)pow(?:ierzchni[aei])?\.?\s*(?:ok\.?\s*)?(\d[\d\s\u00a0]*)\s*m[²2]", 1)
+    found = F.regexp_extract(text, AREA_IN_TEXT, 1)
     return field_m2(F.nullif(F.regexp_replace(found, r"\s", ""), F.lit("")))
 
 
 def area_in_page(html: Column) -> Column:
     """An area in a page: in its title, in its data, or at the end of an element; zero is none."""
-    patterns = (r"<title>[^<]*?(\d[\d\s\u00a0]*)\s*m²", r'"floorSize"[^}]*?"value"\s*:\s*"?([\d.,]+)', r"(\d[\d\s\u00a0]*)\s*m²\s*</")
-    return F.coalesce(*[F.nullif(field_m2(F.nullif(F.regexp_replace(F.regexp_extract(html, p, 1), r"\s", ""), F.lit(""))), F.lit(0)) for p in patterns])
+    return F.coalesce(*[F.nullif(field_m2(F.nullif(F.regexp_replace(F.regexp_extract(html, p, 1), r"\s", ""), F.lit(""))), F.lit(0)) for p in AREA_IN_PAGE])
 
 
 def without_tags(html: Column) -> Column:
@@ -225,8 +226,7 @@ def without_tags(html: Column) -> Column:
 
 def labels(html: Column) -> Column:
     """``<b>label:</b> value`` pairs as a map with folded keys; of equal labels the first with a value wins."""
-    pattern = r"<(?:span|strong|b|dt|th)[^>]*>\s*([A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż ]{3,28}):\s*</(?:span|strong|b|dt|th)>\s*(?:<[^>]+>\s*)*([^<]{1,80})"
-    part = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
+    part = lambda i: F.regexp_extract_all(html, F.lit(LABEL), F.lit(i))
     pairs = F.zip_with(part(1), part(2), lambda k, v: F.struct(F.lower(fold_polish(F.trim(k))).alias("k"), F.trim(F.regexp_replace(v, r"\s+", " ")).alias("v")))
     known = F.filter(pairs, lambda p: p["v"] != "")
     keys = F.transform(known, lambda p: p["k"])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +20,8 @@ PATTERNS = (
 )
 #: Characters of a title behind a noun for land that describe it, and where they end before.
 WINDOW, ENDS = 40, r"(?s)[,;|\d].*"
-#: Patterns of nouns for land, one on a line.
-NOUNS_FILE = Path(__file__).parent.parent / "data" / "title_nouns.txt"
-
-
-@lru_cache(1)
-def nouns() -> str:
-    return "|".join(NOUNS_FILE.read_text(encoding="utf-8").split())
+#: Fixed value: nouns for land.
+NOUNS = r"dzialk\w*|dzialek|grunt\w*|teren\w*|nieruchomosc\w*|parcel\w*"
 
 
 def first_named(folded: Column) -> Column:
@@ -51,7 +43,7 @@ def of_purpose(purpose: Column) -> Column:
 def of_title(title: Column) -> Column:
     """From the words behind a noun for land only: the rest of a title is an address, and streets are named after woods."""
     low = F.lower(text.fold_polish(F.coalesce(title, F.lit(""))))
-    behind = F.regexp_extract_all(low, F.lit(f"(?Us)(?:{nouns()})(?=(.{{0,{WINDOW}}}))"), F.lit(1))
+    behind = F.regexp_extract_all(low, F.lit(f"(?Us)(?:{NOUNS})(?=(.{{0,{WINDOW}}}))"), F.lit(1))
     named = F.transform(behind, lambda w: first_named(F.regexp_replace(w, ENDS, "")))
     return F.try_element_at(F.array_compact(named), F.lit(1))
 

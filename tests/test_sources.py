@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from plotlens.sources import pages, registers
+from plotlens.sources import details, pages, registers
 from plotlens.streaming import offers as streams
 
 XML = """<FeatureCollection xmlns:ms="x"><ms:member><ms:dzialki><ms:iip_id>1</ms:iip_id><ms:id_dzialki>226101_1.0091.81/23</ms:id_dzialki>
@@ -71,3 +71,15 @@ def test_expiry_and_late_rows(spark, tmp_path):
     got = {(r.offer, r.event_id): r.change for r in spark.read.parquet(sink).collect()}
     assert got[1, 1] == "new" and got[2, 2] == "new" and got[2, 3] == "late" and got[2, 5] == "changed"
     assert got[1, None] == "expired" and got[1, 4] == "reactivated"
+
+
+def test_centre_of_a_map_in_a_flattened_state(spark):
+    page = lambda state: f'<script id="__NUXT_DATA__" type="x">{state}</script>'
+    states = [
+        '[{"northeast":2},{"center":3,"zoom":5},{"latitude":5,"longitude":6},{"latitude":6,"longitude":7},0,12,54.25,18.5]',  # a corner first
+        '[{"center":1,"zoom":0},{"latitude":2,"longitude":3},"54.1",18.2,{"center":5,"zoom":0},{"latitude":3,"longitude":6},50]',  # degrees as text are none
+        '[{"center":9,"zoom":0},{"center":true,"zoom":0},{"center":4},0,{"latitude":5,"longitude":5},7]', "[broken", '{"center":1}',
+    ]
+    rows = spark.createDataFrame([*enumerate(map(page, states)), (9, None)], "page_id bigint, html string")
+    got = {r.page_id: (r.lat, r.lon) for r in details.details(rows).collect()}
+    assert got == {0: (54.25, 18.5), 1: (18.2, 50.0), **{i: (None, None) for i in (2, 3, 4, 9)}}
