@@ -15,23 +15,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotlens.llm.text import input_rows, without_spaces
+from plotlens.llm.text import input_rows, packed, unpacked, without_spaces
 from plotlens.session import staged
 
 #: Buckets of an index at least, and the digests that a bucket of a new one is meant for: about a GB.
 BUCKETS, BUCKET_DIGESTS = 16, 16_000_000
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row, id, n, digest)`` of every row, staged: about 60 bytes a document instead of its text."""
-    rows = input_rows(docs, id=id_col, text=text_col)
-    rows = rows.select(
+def _numbered(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows ``(id, text)`` with ``row``, ``n`` and ``digest`` instead of the text."""
+    return rows.select(
+        *more,
         F.monotonically_increasing_id().alias("row"),
         "id",
         F.coalesce(F.char_length("text"), F.lit(0)).alias("n"),
         F.unhex(F.sha2(without_spaces(F.col("text")), 256)).alias("digest"),
     )
-    return staged(rows, "digests")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, id, n, digest)`` of every row, staged: about 60 bytes a document instead of its text."""
+    return staged(_numbered(input_rows(docs, id=id_col, text=text_col)), "digests")
 
 
 def _best(row: str, id_: str, n: str) -> Column:
@@ -103,6 +107,18 @@ class DigestIndex:
         for table in (self.table, self.later):
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
+    def compact(self) -> None:
+        """Write each table anew as one sorted file a bucket, after many appends; no bucket is shuffled, no answer changes."""
+        for table in (self.table, self.later):
+            if self.spark.catalog.tableExists(table):
+                rows = self.spark.table(table)
+                if table == self.later:
+                    rows = rows.groupBy("digest").agg(_best("row", "id", "n").alias("best"), F.sum("copies").alias("copies"), F.max("n").alias("n")).select("digest", "best.row", "best.id", "n", "copies")
+                fresh = f"{table}_{uuid.uuid4().hex}"
+                self._append(rows, fresh)
+                self.spark.sql(f"DROP TABLE {table}")
+                self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+
     def add_all(self, batches: list[DataFrame]) -> None:
         """Add batches of one ``digests`` table, whose rows ``decide`` is asked for afterwards."""
         for batch in batches:
@@ -113,12 +129,19 @@ class DigestIndex:
 
         Row numbers must come from one ``digests`` table.
         """
-        known = self.spark.table(self.table)
+        known = self.spark.table(self.table).select("digest", F.struct("n", "id", "row").alias("one"), "copies")
         later = self._later()
-        if later is not None:
-            known = known.unionByName(later)
-        known = known.repartition("digest")  # the union of two bucketed tables is not dealt by digest, though Spark groups it as if it were
-        of = known.groupBy("digest").agg(_best("row", "id", "n").alias("best"), F.sum("copies").alias("group_size"))
+        if later is None:
+            best, size = F.col("one"), F.col("copies")
+        else:
+            # both tables are dealt and sorted by digest already, so neither this grouping nor the join moves a row
+            again = later.groupBy("digest").agg(_best("row", "id", "n").alias("b"), F.max("n").alias("n"), F.sum("copies").alias("more"))
+            again = again.select("digest", F.struct("n", "b.id", "b.row").alias("other"), "more")
+            known = known.hint("merge").join(again, "digest", "left")
+            rank = lambda x: F.struct(x["n"], x["id"].isNotNull(), -x["id"], -x["row"])
+            best = F.when(F.col("other").isNull() | (rank(F.col("one")) >= rank(F.col("other"))), F.col("one")).otherwise(F.col("other"))
+            size = F.col("copies") + F.coalesce("more", F.lit(0))
+        of = known.select("digest", best.alias("best"), size.alias("group_size"))
         of = staged(of.select("digest", F.col("best.row").alias("keep_row"), F.col("best.id").alias("keep_id"), "group_size"), "digest-winners")
         return _decided(rows, of)
 
@@ -129,6 +152,15 @@ def _decided(rows: DataFrame, of: DataFrame) -> DataFrame:
     )
 
 
+def _decide_all(rows: DataFrame) -> DataFrame:
+    """Decisions on all rows of one ``digests`` table by a new index that takes them up in two batches and is dropped."""
+    index = DigestIndex(rows.sparkSession, buckets=max(BUCKETS, rows.count() // BUCKET_DIGESTS))
+    index.add_all([rows.where(F.col("row") % 2 == b) for b in (0, 1)])
+    out = index.decide(rows)
+    index.drop()
+    return out
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """A row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
@@ -138,29 +170,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, and an empty table gives an empty result.
     """
     rows = digests(docs, id_col, text_col)
-    if index:
-        out = index.add(rows)
-    else:
-        index = DigestIndex(docs.sparkSession, buckets=max(BUCKETS, rows.count() // BUCKET_DIGESTS))
-        index.add_all([rows.where(F.col("row") % 2 == b) for b in (0, 1)])
-        out = index.decide(rows)
-        index.drop()
+    out = index.add(rows) if index else _decide_all(rows)
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns.
+    """The rows of ``docs`` that stay, one for each text, with all their columns, whatever they are called.
 
-    A key of id and digest selects the rows; where it occurs again, by rows repeated in full or by
-    texts of one id that differ in white space, the longest is taken. The join and the choice are
-    dealt by that key, so the texts are shuffled once.
+    Rows are staged with their numbers, by which the kept ones are told apart from rows repeated in
+    full and from rows without an id; each text is shuffled once, by its row.
     """
-    key = lambda digest: F.concat(F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("")), digest)
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("text_sha256")).alias("__key"))
-    rows = docs.withColumn("__key", key(F.sha2(without_spaces(F.col(f"`{text_col}`")), 256)))
-    rows = rows.withColumn("__n", F.coalesce(F.char_length(f"`{text_col}`"), F.lit(0)))
-    first = Window.partitionBy("__key").orderBy(F.col("__n").desc())
-    rows = rows.hint("merge").join(kept, "__key", "left_semi").withColumn("__rank", F.row_number().over(first))
-    return rows.where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = staged(_numbered(packed(docs, id=id_col, text=text_col), "input"), "numbered-documents")
+    kept = _decide_all(numbered.select("row", "id", "n", "digest")).where("kept").select("row")
+    kept = numbered.select("row", "input").hint("merge").join(staged(kept, "kept-rows"), "row", "left_semi")
+    return kept.select(*unpacked(kept, docs.columns))

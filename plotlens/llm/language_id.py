@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlens.llm.text import input_rows, parts
+from plotlens.llm.text import input_rows, packed, parts, unpacked
 
-#: Slots of each of the two n-gram tables; they bound the model to 2 * SLOTS numbers a language.
+#: Slots of each of the two n-gram tables of a language, of up to ``LANGUAGES`` languages.
 SLOTS = 1 << 15
 #: Labelled documents of each language that the model is fitted on, about; a documented bound.
 TRAIN_DOCS = 5_000
-#: Languages of a model at most, which bounds what is sent to the tasks; more are an error.
+#: Languages up to which each n-gram table has all its slots; beyond, the tables shrink so that the model, which every task holds, does not grow.
 LANGUAGES = 512
 #: The cost of a switch of language between two words, in nats.
 SWITCH = 8.0
@@ -64,7 +64,12 @@ def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return letter_table()[0][points], np.cumsum(sizes) - sizes
 
 
-def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slots_for(languages: int) -> int:
+    """Slots of a table, a power of two, so that all tables together hold ``2 * SLOTS * LANGUAGES`` numbers at most, or 16 each."""
+    return min(SLOTS, max(16, 1 << (SLOTS * LANGUAGES // max(1, languages)).bit_length() - 1))
+
+
+def grams(c: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """The slots of the trigram around and the four-gram up to and after each place of ``c``."""
     z = np.concatenate(([0, 0], c, [0])).astype(np.uint64)
     before2 = np.where(z[1:-2] == 0, np.uint64(0), z[:-3])
@@ -72,7 +77,7 @@ def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h3 = ((z[1:-2] * np.uint64(0x1F123BB5) + z[2:-1]) * np.uint64(0x5851F42D) + z[3:]) * mix
     h4 = h3 + (before2 + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     h4 = (h4 ^ (h4 >> np.uint64(29))) * mix
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    shift = np.uint64(64 - slots.bit_length() + 1)
     return (h3 >> shift).astype(np.int64), (h4 >> shift).astype(np.int64)
 
 
@@ -85,39 +90,40 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> dict:
     labelled = labelled.where("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).collect()}
     langs = sorted(counts)
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"{len(langs)} languages, {LANGUAGES} at most")
     if not langs:
         return {"langs": []}
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))])
+    slots = slots_for(len(langs))
+    share = F.lit(1.0)  # only languages above the bound are named, so the expression does not grow with dirty labels
+    if large := {lang: per_lang / n for lang, n in counts.items() if n > per_lang}:
+        share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("lang")), share)
     place = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+    sample = labelled.where(place < share).select("lang", "text")
     index = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 2 * SLOTS + 64), np.int64)
+        total = np.zeros((len(langs), 2 * slots + 64), np.int64)
         for batch in batches:
             lang, text = (c.to_pylist() for c in batch.columns)
             for at in range(0, len(text), 64):
                 c, starts = letters_of(text[at : at + 64])
                 of = np.repeat([index[x] for x in lang[at : at + 64]], np.diff(np.append(starts, len(c))))
                 letters = np.flatnonzero(c)
-                third, fourth = grams(c)
-                for slot in (third[letters], fourth[letters] + SLOTS, letter_table()[1][c[letters]].astype(np.int64) + 2 * SLOTS):
+                third, fourth = grams(c, slots)
+                for slot in (third[letters], fourth[letters] + slots, letter_table()[1][c[letters]].astype(np.int64) + 2 * slots):
                     np.add.at(total, (of[letters], slot), 1)
         where = np.nonzero(total)
         yield pa.record_batch([pa.array(where[0]), pa.array(where[1]), pa.array(total[where])], names=["lang", "slot", "n"])
 
     table = sample.mapInArrow(count, "lang bigint, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((len(langs), 2 * SLOTS + 64))
+    total = np.zeros((len(langs), 2 * slots + 64))
     total[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
     parts = []
-    for lo in (0, SLOTS):
-        part = total[:, lo : lo + SLOTS] + 0.1
+    for lo in (0, slots):
+        part = total[:, lo : lo + slots] + 0.1
         parts.append(np.log(part / part.sum(axis=1, keepdims=True)).T.astype(np.float32))
-    scripts = total[:, 2 * SLOTS :]
+    scripts = total[:, 2 * slots :]
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return {"langs": langs, "third": parts[0], "fourth": parts[1], "uses": uses.T & (scripts.T > 0)}
+    return {"langs": langs, "slots": slots, "third": parts[0], "fourth": parts[1], "uses": uses.T & (scripts.T > 0)}
 
 
 def word_scores(c: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +136,7 @@ def word_scores(c: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.
     while lo < len(starts):  # in parts of so many letters, at word bounds
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + LETTERS)))
         a, b = starts[lo], ends[hi - 1]
-        third, fourth = grams(np.concatenate(([0, 0], c[a:b], [0])))
+        third, fourth = grams(np.concatenate(([0, 0], c[a:b], [0])), model["slots"])
         each = 0.5 * (model["third"][third[2:-1]] + model["fourth"][fourth[2:-1]])
         each[c[a:b] == 0] = 0
         scores[lo:hi] = np.add.reduceat(each, starts[lo:hi] - a, axis=0)
@@ -148,9 +154,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
     at, left = first[order], count[order]
     n_docs = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), side="left")  # that have a word t
     n_langs = scores.shape[1]
-    came_from = np.zeros(scores.shape, np.int16)
+    came_from = np.zeros(scores.shape, np.int32)
     v = np.zeros((len(order), n_langs), np.float32)
-    keep = np.arange(n_langs, dtype=np.int16)
+    keep = np.arange(n_langs, dtype=np.int32)
     for t, n in enumerate(n_docs):
         rows = at[:n] + t
         if t:
@@ -161,7 +167,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
             v[:n] = np.where(stay, v[:n], jump[:, None]) + scores[rows]
         else:
             v[:n] = scores[rows]
-    label = np.zeros(len(scores), np.int16)
+    label = np.zeros(len(scores), np.int32)
     now = v.argmax(axis=1)
     for t in range(len(n_docs) - 1, -1, -1):
         n = n_docs[t]
@@ -235,7 +241,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """A row per document: its id, ``held_out``, ``lang_pred``, ``score`` and ``spans``.
 
     Repeated rows give repeated results and an empty table an empty one; a label that is null is
-    not learned from. Of languages with equally many letters the first by name is predicted. A very
+    not learned from. However many labels there are, all are learned. Of languages with equally many letters the first by name is predicted. A very
     long text is labelled whole, alone in its part of a batch.
     """
     model = train(input_rows(docs.where(~held_out(id_col)), id=id_col, text=text_col, lang=lang_col))
@@ -256,8 +262,10 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 4 * CELLS // max(1, len(held.value["langs"]))
         for batch in batches:
-            for part in parts(batch, place, most):
-                found = label_texts(part.column(place).to_pylist(), held.value)
+            for part in parts(batch, 0, most, place):
+                found = label_texts(part.column(0).field(place).to_pylist(), held.value)
                 yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found]))
 
-    return docs.mapInArrow(each, docs.schema)
+    kept = packed(docs)
+    kept = kept.mapInArrow(each, kept.schema)
+    return kept.select(*unpacked(kept, docs.columns))

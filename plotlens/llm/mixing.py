@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotlens.llm.text import packed, unpacked
+from plotlens.session import staged
+
 #: A mean above this is drawn as the sum of several smaller ones, so that exp(-mean) stays above zero.
 LARGEST_MEAN = 500.0
 #: Sources up to which the rates are broadcast; more are joined by a shuffle.
@@ -49,7 +52,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
         weight = F.lit(0.0)
         for source, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("w", weight)
+    counts = staged(counts.withColumn("w", weight), "mixing-counts")
     n, total = counts.agg(F.sum("n"), F.sum("w")).first()
     return counts.select("source", "n", (F.lit(epochs * (n or 0)) * F.col("w") / F.lit(total or 1.0) / F.col("n")).alias("mean"))
 
@@ -61,27 +64,33 @@ def mix(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
-    copy_col: str = "copy",
+    copy_col: str | None = "copy",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with ``copy`` (1, 2, ...), in a random global order.
 
     Rows repeated in full, and rows with a null id, draw the same count each. An empty table gives
-    an empty result.
+    an empty result. Columns of the input keep names and values; if one is called like ``copy_col``,
+    underscores are put behind the new one's name. With ``copy_col=None`` there is none.
     """
-    of = rates(docs, weights, epochs, source_col)
-    of = of.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN)).cast("int"))
-    of = of.select(F.col("source").alias("__source"), "__parts", poisson_steps(F.col("mean") / F.col("__parts")).alias("__steps"))
-    if docs.select(F.approx_count_distinct(f"`{source_col}`")).first()[0] <= BROADCAST_SOURCES // 2:
-        of = F.broadcast(of)
-    id_ = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    of = staged(rates(docs, weights, epochs, source_col), "mixing-rates")
+    small = of.count() <= BROADCAST_SOURCES
+    parts_ = F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN)).cast("int")
+    of = of.withColumn("parts", parts_).select(F.col("source").alias("of"), "parts", poisson_steps(F.col("mean") / F.col("parts")).alias("steps"))
+    rows = packed(docs, id=id_col, source=source_col)
+    id_ = F.coalesce(F.col("id").cast("string"), F.lit("null"))
 
     def drawn(part: Column) -> Column:
         u = uniform(id_, F.lit(seed), part)
-        return F.size(F.filter("__steps", lambda c: c < u))
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, part: acc + drawn(part))
-    rows = docs.join(of, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).withColumn("__count", count).where("__count > 0")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    rows = rows.withColumn("__place", F.xxhash64(id_, F.lit(seed), "__copy"))
-    rows = rows.repartition("__place").sortWithinPartitions("__place")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__copy").alias(copy_col))
+        return F.size(F.filter("steps", lambda c: c < u))
+
+    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, part: acc + drawn(part))
+    rows = rows.join(F.broadcast(of) if small else of, F.col("source").eqNullSafe(F.col("of"))).withColumn("count", count).where("count > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    rows = rows.withColumn("place", F.xxhash64(id_, F.lit(seed), "copy")).select("input", "copy", "place")
+    rows = rows.repartition("place").sortWithinPartitions("place")
+    out = unpacked(rows, docs.columns)
+    if copy_col is not None:
+        while copy_col.lower() in {c.lower() for c in docs.columns}:
+            copy_col += "_"
+        out.append(F.col("copy").alias(copy_col))
+    return rows.select(*out)

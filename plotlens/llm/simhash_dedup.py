@@ -6,27 +6,39 @@ most ``radius`` bits agree on all bits of at least ``blocks - radius`` blocks, s
 each choice of so many blocks misses no link. Within a bucket, bit planes are stored vertically,
 one bit for each fingerprint; a fingerprint is held against all later ones at once by adding the
 planes of differing bits into carry-save counters, and a comparison is abandoned once every lane
-exceeds the radius. Links join a bucket-local forest, so a bucket of n emits fewer than n edges.
+exceeds the radius. Links join a bucket-local forest, so a bucket of n emits fewer than n edges;
+what a forest holds together already is not compared again.
+
+``keep_one_of_each`` compares fingerprints of 512 bits over sets of five-word shingles, at the
+radius of texts that have 0.92 of their words in common. So far apart, no block of bits would be
+selective: documents meet where both smallest shingle hashes of one of 20 groups agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from plotlens.llm.text import input_rows, map_batches, words
+from plotlens.llm.text import input_rows, map_batches, packed, unpacked, words
 from plotlens.operators.components import connected_components
 from plotlens.session import staged
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
+#: Bits and words of a shingle of the wide fingerprints that ``keep_one_of_each`` compares, and the share of words that near copies have in common at least.
+WIDE, WIDE_SHINGLE, LIKENESS = 512, 5, 0.92
+#: Groups of smallest hashes in which documents meet, and hashes of a group: a pair at the bound is missed once in 200.
+BANDS, BAND = 20, 2
+#: What tells the parts of a wide fingerprint apart, and odd factors that give each smallest hash an order of its own.
+_LANES = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), 1) | 1 for k in range(BANDS * BAND)], np.uint64)
 #: Fingerprints of a bucket that are compared in one piece; larger buckets are dealt out in pairs of pieces.
 PIECE = 4096
 #: A shingle table of a document is summed in parts of so many shingles.
@@ -85,11 +97,11 @@ def choose_blocks(n: int, radius: int) -> int:
     return blocks
 
 
-def _planes(values: list[int]) -> list[int]:
+def _planes(values: list[int], bits: int = BITS) -> list[int]:
     """Bit planes: bit i of plane b is bit b of value i."""
-    bits = np.unpackbits(np.array(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    packed = np.packbits(bits, axis=0, bitorder="little")
-    return [int.from_bytes(packed[:, b].tobytes(), "little") for b in range(BITS)]
+    table = np.frombuffer(b"".join(v.to_bytes(bits // 8, "little") for v in values), np.uint8).reshape(-1, bits // 8)
+    packed_ = np.packbits(np.unpackbits(table, axis=1, bitorder="little"), axis=0, bitorder="little")
+    return [int.from_bytes(packed_[:, b].tobytes(), "little") for b in range(bits)]
 
 
 def near_lanes(value: int, planes: list[int], lanes: int, radius: int, order: list[int]) -> int:
@@ -112,10 +124,14 @@ def near_lanes(value: int, planes: list[int], lanes: int, radius: int, order: li
     return alive
 
 
-def _link(values: list[int], mask: int, sides: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """The edges (value, root) of a bucket's forest. ``sides``: only values of unlike sides are compared, if given."""
+def _link(values: list[int], order: list[int], sides: list[int] | None, radius: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """The edges (place, root's place) of a bucket's forest. ``sides``: only values of unlike sides are compared, if given.
+
+    ``order`` has the bits that may differ. Members of a tree are lanes of a mask, and no value is
+    held against its own tree: a large group of near copies costs a pass, not a pass for each.
+    """
     n = len(values)
-    root = list(range(n))
+    root, members = list(range(n)), [1 << i for i in range(n)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -123,45 +139,46 @@ def _link(values: list[int], mask: int, sides: list[int] | None, radius: int) ->
             i = root[i]
         return i
 
-    planes = _planes(values)
-    order = [b for b in range(BITS) if not mask >> b & 1]  # all lanes agree on the others
+    planes = _planes(values, bits)
     split = sum(s << i for i, s in enumerate(sides)) if sides else 0
     whole = (1 << n) - 1
     for i in range(n - 1):
-        lanes = whole >> (i + 1) << (i + 1)
+        lanes = whole >> (i + 1) << (i + 1) & ~members[find(i)]
         if sides:
             lanes &= ~split if split >> i & 1 else split
         near = near_lanes(values[i], planes, lanes, radius, order) if lanes else 0
         while near:
-            low = near & -near
-            near ^= low
-            a, b = find(i), find(low.bit_length() - 1)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [(values[i], values[find(i)]) for i in range(n) if find(i) != i]
+            a, b = find(i), find((near & -near).bit_length() - 1)
+            low, high = min(a, b), max(a, b)
+            root[high] = low
+            members[low] |= members[high]
+            members[high] = 0
+            near &= ~members[low]
+    return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], orders: list[list[int]], radius: int, bits: int = BITS) -> Iterator[pa.RecordBatch]:
     """Edges of buckets that arrive sorted; a bucket holds ``2 * PIECE`` fingerprints or so at most."""
-    key, values, sides = None, [], []
+    key, nodes, values, sides = None, [], [], []
     out: list[tuple[int, int]] = []
 
     def close():
         if len(values) > 1:
             mixed = sides if key[2] != key[3] else None
-            out.extend(_link(values, masks[key[0]] % (1 << BITS), mixed, radius))
+            out.extend((nodes[a], nodes[b]) for a, b in _link(values, orders[key[0] % len(orders)], mixed, radius, bits))
 
     def flush():
-        edges = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        edges = np.array(out, np.int64).reshape(-1, 2)
         return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for t, k, i, j, side, fp in zip(*columns, strict=True):
+        for t, k, i, j, side, node, fp in zip(*columns, strict=True):
             if (t, k, i, j) != key:
                 close()
-                key, values, sides = (t, k, i, j), [], []
-            values.append(fp % (1 << BITS))
+                key, nodes, values, sides = (t, k, i, j), [], [], []
+            nodes.append(node)
+            values.append(int.from_bytes(fp, "little") if isinstance(fp, bytes) else fp % (1 << BITS))
             sides.append(side)
         if len(out) > 50_000:
             yield flush()
@@ -170,29 +187,35 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], masks: list[int], radius: i
     yield flush()
 
 
-def near_edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
-    """``(a, b)`` edges that connect the distinct fingerprints ``fp`` within the radius.
+def bucket_edges(keyed: DataFrame, orders: list[list[int]], radius: int, bits: int = BITS, piece: int = PIECE) -> DataFrame:
+    """``(a, b)`` edges of all buckets ``(t, k)`` of ``(t, k, node, fp)``.
 
     Buckets of one fingerprint end in the count of their sizes. A bucket over ``piece`` is dealt
     into parts by a hash, and each pair of parts is compared in a task of its own.
     """
-    distinct = distinct.select("fp")
-    blocks = blocks or choose_blocks(distinct.count(), radius)
-    masks = block_masks(radius, blocks)
-    assert len(masks) == comb(blocks, radius)
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)]))
-    keyed = distinct.select("fp", table.alias("bucket")).select("bucket.t", "bucket.k", "fp")
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     large = staged(sizes.where(F.col("n") > piece).select("t", "k", F.ceil(F.col("n") / piece).cast("int").alias("parts")), "large-buckets")
     keyed = keyed.hint("merge").join(large, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j"), (F.col("part") > o).cast("int").alias("side")),
     )
-    dealt = keyed.select("t", "k", "fp", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", "p.side", "fp")
-    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp")
-    return dealt.mapInArrow(lambda batches: _bucket_edges(batches, masks, radius), "a bigint, b bigint")
+    dealt = keyed.select("t", "k", "node", "fp", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", "p.side", "node", "fp")
+    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "node")
+    return dealt.mapInArrow(lambda batches: _bucket_edges(batches, orders, radius, bits), "a bigint, b bigint")
+
+
+def near_edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
+    """``(a, b)`` edges that connect the distinct fingerprints ``fp`` within the radius."""
+    distinct = distinct.select("fp")
+    blocks = blocks or choose_blocks(distinct.count(), radius)
+    masks = block_masks(radius, blocks)
+    assert len(masks) == comb(blocks, radius)
+    orders = [[b for b in range(BITS) if not m >> b & 1] for m in masks]  # all of a bucket agree on the other bits
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)]))
+    keyed = distinct.select("fp", table.alias("bucket")).select("bucket.t", "bucket.k", F.col("fp").alias("node"), "fp")
+    return bucket_edges(keyed, orders, radius, BITS, piece)
 
 
 def fingerprint_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -220,21 +243,70 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wide_radius(likeness: float = LIKENESS) -> int:
+    """Bits of ``WIDE`` that are expected to differ between texts that share so many of their words.
+
+    A shingle stays if all its words do, so the cosine of the shingle sets is that share to the power of a shingle's words.
+    """
+    return int(WIDE * acos(likeness**WIDE_SHINGLE) / pi)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    x = h * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(text: bytes | None, size: int = WIDE_SHINGLE, seed: int = SEED) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of a text's set of shingles, and the hash of each group of its smallest shingle hashes.
+
+    A text of fewer words is one shingle; one without words has zeros throughout.
+    """
+    found = words(text.lower() if text else None)
+    if not found:
+        return bytes(WIDE // 8), [0] * BANDS
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    n = max(1, len(found) - size + 1)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n]
+    h = np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[min(size, len(found)) - 1 :] - 1).tolist(), strict=True)), np.uint64, n))
+    ones, least = np.zeros(WIDE, np.int64), np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1020):
+        part = h[at : at + 1020, None]
+        bits = np.unpackbits(_mixed(part + _LANES).view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(part), 255):  # sums of 255 bits fit in a byte
+            ones += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+        least = np.minimum(least, (part * _FACTORS).min(axis=0))
+    keys = np.array([digest(least[BAND * k : BAND * (k + 1)].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), keys.tolist()
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
     """One row of each group: that of the smallest id; of several rows of that id, or of null ids only, one of them.
 
-    Rows are told apart by a number that is staged with them and their fingerprints, so one id may
-    have several texts. Null and empty texts are near copies of each other; an empty table stays empty.
+    Two texts are linked if their wide fingerprints differ in at most as many bits as those of
+    texts that share ``likeness`` of their words; a group is what links hold together. Rows are told apart by a
+    number that is staged with them, so one id may have several texts, and the columns of the input
+    may have any names. Null and empty texts are near copies of each other; an empty table stays empty.
     """
-    place = docs.columns.index(text_col)
+    at, of = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([*batch.columns, _fingerprints(batch.column(place))], names=[*batch.schema.names, "__fp"])
-
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    numbered = staged(map_batches(docs, each, schema).withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
-    rows = numbered.select("__row", F.col(f"`{id_col}`").alias("__id"), F.col("__fp").alias("fp"))
-    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    distinct = staged(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
-    kept = fingerprint_roots(distinct).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.hint("merge").join(staged(kept, "kept-rows"), "__row", "left_semi").drop("__row", "__fp")
+        rows = batch.column(0)
+        found = [sketch(t.as_py()) for t in rows.field(of).cast(pa.large_binary())]
+        return pa.record_batch(
+            [rows, rows.field(at), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["input", "id", "fp", "bands"]
+        )
+
+    schema = StructType([StructField("input", docs.schema), StructField("id", docs.schema[id_col].dataType), StructField("fp", BinaryType()), StructField("bands", ArrayType(LongType()))])
+    numbered = staged(map_batches(packed(docs), each, schema).withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    distinct = numbered.groupBy("fp").agg(F.min(first).alias("first"), F.max("bands").alias("bands"))
+    distinct = staged(distinct.select(F.col("first.row").alias("node"), "first", "fp", "bands"), "wide-fingerprints")
+    keyed = distinct.select(F.posexplode("bands").alias("t", "k"), "node", "fp")
+    edges = bucket_edges(keyed, [list(range(WIDE))], wide_radius(likeness), WIDE)
+    roots = connected_components(edges).withColumnRenamed("node", "of")
+    grouped = distinct.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = staged(grouped.agg(F.min("first").alias("first")).select("first.row"), "kept-rows")
+    left = numbered.select("row", "input").hint("merge").join(kept, "row", "left_semi")
+    return left.select(*unpacked(left, docs.columns))

@@ -51,9 +51,20 @@ def input_rows(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def parts(batch: pa.RecordBatch, place: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with ``most`` bytes at most in the text column at ``place``; one row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def packed(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` as one struct ``input`` beside copies of the named columns: helpers added later can't clash with a column of the input."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"), *[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns that ``packed`` put into ``input``, for a select."""
+    return [F.col("input").getField(c).alias(c) for c in columns]
+
+
+def parts(batch: pa.RecordBatch, place: int, most: int, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with ``most`` bytes at most in the text column at ``place``, or in a field of the struct there; one row at least."""
+    texts = batch.column(place) if field is None else batch.column(place).field(field)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))

@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -50,6 +51,15 @@ def _record(kind: str, record_id: str, content_type: str, block: bytes, headers:
     return squeeze.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + squeeze.flush()
 
 
+def _asked(uri: str | None) -> tuple[str, str]:
+    """Host and path with query of a request for ``uri``; without ``://`` the host is empty. No form of it is an error."""
+    _, mark, rest = (uri or "").partition("://")
+    rest = rest.partition("#")[0] if mark else ""
+    host = re.match(r"[^/?]*", rest)[0]
+    path = rest[len(host) :]
+    return host, path if path.startswith("/") else f"/{path}"
+
+
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     if folder.startswith("file:/"):
         folder = "/" + folder[5:].lstrip("/")
@@ -87,8 +97,8 @@ def write_captures(captures: DataFrame, folder: str, date: str = DATE) -> DataFr
                 else:
                     linked += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _record_id("response", first_id, first_url, digest))]
                     main = _record("revisit", own, "application/http;msgtype=response", head, linked)
-                parts = urlsplit(uri or "")
-                asks = f"GET {parts.path or '/'} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode()
+                host, wanted = _asked(uri)
+                asks = f"GET {wanted} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
                 out.write(_record("request", request, "application/http;msgtype=request", asks, target))
                 out.write(main)
                 fields = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()

@@ -5,10 +5,9 @@ import hashlib
 import re
 
 import pytest
-import xxhash
 
 import corpus_pipeline
-from plotlens.llm import queries, warc
+from plotlens.llm import queries, simhash_dedup, warc
 
 PAGES = [
     (1, "http://a.example/x", "<p>one</p>"), (2, "http://a.example/y", "<p>one</p>"), (3, "http://b.example/é\n?q=1", "<p>über</p>"),
@@ -43,6 +42,13 @@ def test_nested_captures(spark, tmp_path):
     assert all(bytes(r.metadata[0].payload).startswith(b"page-id: ") for r in rows)
 
 
+def test_addresses_of_any_form(spark):
+    urls = ["http://[abc/x", "http://a]b/", "http://[zz]/", "http://", "://", "http://h?q", "http://h#f", "x y\x00\r\n"]
+    rows = warc.archive_round_trip(spark, spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id bigint, url string, html string")).collect()
+    assert {r.page_id for r in rows} == set(range(len(urls))) and {r.record_type for r in rows} == {"response"}
+    assert [warc._asked(u) for u in ("http://[abc/x", "http://h?q", "h/p", None, "http://h#f")] == [("[abc", "/x"), ("h", "/?q"), ("", "/"), ("", "/"), ("h", "/")]
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "page_id bigint, url string, html string")
     assert {r.record_type for r in warc.archive_round_trip(spark, pages, least_bytes=2).collect()} == {"response"}
@@ -52,12 +58,6 @@ def test_no_pages(spark):
     assert warc.archive_round_trip(spark, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-def _fingerprint(t):
-    w = t.encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tables = [docs]
@@ -71,13 +71,14 @@ def test_pipeline(spark, sf_dir):
     for r in known:
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append(r)
     assert sorted(exact) == sorted(min(v, key=lambda r: (-len(r[1]), r[0])) for v in best.values())
-    fp = {r[0]: _fingerprint(r[1]) for r in exact}
+    fp = {r[0]: int.from_bytes(simhash_dedup.sketch(r[1].encode())[0], "little") for r in exact}
     group = {i: i for i in fp}
     for _ in fp:
-        moved = {i: min(group[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= 4) for i in fp}
+        moved = {i: min(group[j] for j in fp if (fp[i] ^ fp[j]).bit_count() <= simhash_dedup.wide_radius()) for i in fp}
         if moved == group:
             break
         group = moved
+    assert len(set(group.values())) < len(group)
     assert sorted(near) == sorted(r for r in exact if group[r[0]] == r[0])
     assert set(mixed) <= set(near)
     assert sorted(r[0] for r in coded) == sorted(r[0] for r in mixed)
