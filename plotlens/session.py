@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Whether a query's shuffle files are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables staged inside the scope that is open, if one is.
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("staged_tables", default=None)
+_LOCK, _WRITES = threading.Lock(), {"now": 0, "before": "false"}
 
 
 def local_session(cores: int | str = 8, app: str = "plotlens") -> SparkSession:
@@ -46,26 +53,47 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs only the tasks that read it, and what stands
     above has plain exchanges on both sides of its joins, which AQE can split when skewed. The
-    shuffle files of the write go as soon as it has ended.
+    shuffle files of the write go as soon as it has ended. With ``keep`` the table outlives the
+    ``staging_scope`` that it is written in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/plotlens-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _LOCK:  # the setting is the session's: the first of several writes changes it, the last puts it back
+        if not _WRITES["now"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["now"] += 1
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _LOCK:
+            _WRITES["now"] -= 1
+            if not _WRITES["now"]:
+                spark.conf.set(CLEANUP, _WRITES["before"])
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if not keep and (scope := _SCOPE.get()) is not None:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def staging_scope() -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end: for a job that has written its result by then."""
+    tables: list[DataFrame] = []
+    token = _SCOPE.set(tables)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        drop_staged(*tables)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete tables that ``staged`` returned and that no later plan reads."""
     for df in tables:
