@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plotlens.llm import bpe, exact_dedup, fingerprints, language_id, mixing, pii, secrets, simhash_dedup, substring_dedup, warc
+from plotlens.llm import bpe, exact_dedup, fill_in_middle, fingerprints, language_id, mixing, pii, runs, secrets, simhash_dedup, substring_dedup, url_filter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transformed(_documents(spark, sf_dir))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_documents(spark, sf_dir))
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of op2 alone, which SQL can express."""
     return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -162,6 +174,36 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::int AS copy
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::varchar, 'null')) AS h FROM documents),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2, ('0x' || substr(h, 17, 8))::bigint AS h3, ('0x' || substr(h, 25, 8))::bigint AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {url_filter.rules_sql(url_filter.RULES)}) v(own, start, rule, verdict)),
+u AS (SELECT row_number() OVER () AS r, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+hits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM h JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY r),
+judged AS (SELECT h.*, rule, ruled FROM h LEFT JOIN hits USING (r)),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS trust, count(*) FILTER (ruled = 'block') / count(*) AS distrust FROM judged WHERE host <> '' GROUP BY host),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{url_filter.HREF.replace("'", "''")}', 1)), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM h WHERE host <> ''),
+names AS (SELECT string_split(host, '.') AS l FROM seeds WHERE contains(host, '.')),
+family AS (SELECT DISTINCT array_to_string(l[k:], '.') AS low, array_to_string(l[k + 1:], '.') AS high FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM names)),
+edges AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY ALL UNION ALL SELECT low, high, 1 FROM family) GROUP BY ALL),
+steps AS (SELECT f, t, sum(wt) AS wt, sum(wd) AS wd FROM (
+  SELECT src AS f, dst AS t, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY src) AS wt, 0.0 AS wd FROM edges UNION ALL SELECT dst, src, 0.0, {url_filter.DAMPING} * n / sum(n) OVER (PARTITION BY dst) FROM edges) GROUP BY ALL),
+term AS (
+  SELECT host, trust::double AS trust, distrust::double AS distrust, 0 AS k FROM seeds
+  UNION ALL SELECT t, sum(wt * trust)::double, sum(wd * distrust)::double, any_value(k) + 1 FROM term JOIN steps ON f = host WHERE k < {url_filter.ROUNDS} GROUP BY t),
+scores AS (SELECT host, round(sum(trust), 9) AS trust, round(sum(distrust), 9) AS distrust FROM term GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN scores USING (host)
+"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -174,6 +216,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_secrets": op9_secrets,
         "op10_fingerprints": op10_fingerprints,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_url_filter": op12_url_filter,
+        "op13_periodic_runs": op13_periodic_runs,
         "pii_counts": pii_counts,
         "secret_counts": secret_counts,
         "edited_documents": edited_documents,
@@ -182,7 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_warc": OP1_SQL, "pii_counts": PII_SQL, "secret_counts": SECRETS_SQL, "edited_documents": EDITED_SQL, "op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+    sql = {"op1_warc": OP1_SQL, "pii_counts": PII_SQL, "secret_counts": SECRETS_SQL, "edited_documents": EDITED_SQL, "op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op12_url_filter": OP12_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
