@@ -189,3 +189,26 @@ def in_polygon(e: Column, n: Column, rings: Column) -> Column:
     """Covered by a polygon with holes: an odd number of its rings holds the point, or a boundary does."""
     odd = F.size(F.filter(rings, lambda r: inside(e, n, r))) % 2 == 1
     return odd | F.exists(rings, lambda r: line_distance(e, n, r) <= 1e-9)
+
+
+def polygons_area(polygons: Column) -> Column:
+    """The area of several polygons, each an outline and the holes behind it."""
+    return F.aggregate(polygons, F.lit(0.0), lambda a, p: a + polygon_area(p))
+
+
+def polygons_bounds(polygons: Column) -> Column:
+    return bounds(F.flatten(F.flatten(polygons)))
+
+
+def in_polygons(e: Column, n: Column, polygons: Column) -> Column:
+    """Covered by one of several polygons with holes."""
+    return in_polygon(e, n, F.flatten(polygons))
+
+
+def polygons_distance(e: Column, n: Column, polygons: Column) -> Column:
+    """0 inside, else the distance from the nearest ring."""
+    return F.when(in_polygons(e, n, polygons), F.lit(0.0)).otherwise(polygons_line_distance(e, n, polygons))
+
+
+def polygons_line_distance(e: Column, n: Column, polygons: Column) -> Column:
+    return F.array_min(F.transform(F.flatten(polygons), lambda r: line_distance(e, n, r)))

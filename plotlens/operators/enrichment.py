@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlens.functions import codes, geo, shape
 from plotlens.operators import changes, layers, scoring
+from plotlens.operators.tessellation import with_polygons
 from plotlens.session import staged
 
 #: The weight of each source, and the share of the parcel's that a frontage alone has.
@@ -37,8 +38,9 @@ def enriched(offers: DataFrame, sources: dict[str, DataFrame | None], failures:
     failed = lambda name: missing.setdefault(name, f"{name}: {(failures or {}).get(name, 'missing')}")
     if have("parcels"):
         match = layers.match_parcels(spots, sources["parcels"])
-        rings = sources["parcels"].select("parcel_id", "ring").dropDuplicates(["parcel_id"])
-        match = match.join(rings, "parcel_id", "left").select("offer_id", "parcel_id", F.col("quality").alias("match"), "usable", "ring", geo.area(F.col("ring")).cast("int").alias("parcel_area_m2"))
+        outlines = with_polygons(sources["parcels"]).groupBy("parcel_id").agg(F.min(F.struct(geo.polygons_area(F.col("polygons")).alias("area"), "polygons")).alias("o"))
+        outlines = outlines.select("parcel_id", F.get(F.get("o.polygons", F.lit(0)), F.lit(0)).alias("ring"), F.col("o.area").cast("int").alias("parcel_area_m2"))
+        match = match.join(outlines, "parcel_id", "left").select("offer_id", "parcel_id", F.col("quality").alias("match"), "usable", "ring", "parcel_area_m2")
         out = out.join(staged(match.withColumn("rect", shape.rectangle(F.when(F.col("usable"), F.col("ring")))), "matches"), "offer_id", "left")
     else:
         failed("parcels")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlens.functions import geo, text
 from plotlens.operators.grid import cell
+from plotlens.operators.tessellation import covering, with_polygons
 from plotlens.session import staged
 
 #: Scenarios of the flood layers, the worst first in the order of the gates.
@@ -25,7 +26,11 @@ INDICATORS = {
 AROUND_M, FARTHEST_M, TOLERANCE, RIVAL_M = 150.0, 250.0, 0.10, 20.0
 #: Where a network counts as visible.
 VISIBLE_M = 200.0
-_RING = "array<struct<e:double,n:double>>"
+
+
+def _outlined(shapes: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of a layer and its outline: ``ring``, ``rings`` (with holes) or ``polygons`` (of several parts)."""
+    return with_polygons(shapes).select(*columns, "polygons")
 
 
 def _listed(shapes: DataFrame, box: Column, size: float) -> DataFrame:
@@ -46,20 +51,6 @@ def _placed(points: DataFrame, listed: DataFrame, size: float) -> DataFrame:
     return points.where("e is not null and n is not null").select("*", F.explode(at).alias("__at")).select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
 
 
-def covering(points: DataFrame, polygons: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Pairs of a point (``e``, ``n``) and a polygon (``ring``, or ``rings`` with holes) that covers it; the boundary counts.
-
-    Only numbers of polygons are listed under cells; a polygon meets the points of its cells afterwards.
-    """
-    numbered = staged(polygons.withColumn("__id", F.monotonically_increasing_id()), "polygons")
-    holed = "rings" in polygons.columns
-    outline = F.col("rings")[0] if holed else F.col("ring")
-    listed = staged(_listed(numbered.select("__id", outline.alias("__ring")), geo.bounds(F.col("__ring")), size).drop("__ring"), "polygon-cells")
-    met = _placed(points, listed, size).join(listed, ["__level", "__cell"]).drop("__level", "__cell").join(numbered, "__id").drop("__id")
-    e, n = F.col("e"), F.col("n")
-    return met.where(geo.in_polygon(e, n, F.col("rings")) if holed else geo.covers(e, n, F.col("ring")))
-
-
 def lines_within(points: DataFrame, lines: DataFrame, radius: float, name: str = "dist_m") -> DataFrame:
     """Pairs of a point and a line (``line``) at most ``radius`` apart; a line is listed side by side, not by its box."""
     size = max(radius, 1.0)
@@ -87,9 +78,9 @@ def acts_in_force(pairs: DataFrame, key: str, act: str, in_force: str, since: st
 def local_plans(points: DataFrame, key: str, acts: DataFrame) -> DataFrame:
     """``(key, local_plan, act, since, n_acts)``: the act that counts at each point, and of how many like it.
 
-    ``acts`` has ``(act, in_force, since, ring)``. Where one in force covers the point, others don't count.
+    ``acts`` has ``(act, in_force, since)`` and an outline: a ``ring``, ``rings`` with holes, or ``polygons`` of several parts. Where one in force covers the point, others don't count.
     """
-    hit = covering(points.select(key, "e", "n"), acts.select("act", "in_force", "since", "ring"))
+    hit = covering(points.select(key, "e", "n"), _outlined(acts, "act", "in_force", "since"))
     best = acts_in_force(hit, key, "act", "in_force", "since")
     counts = hit.groupBy(key).agg(F.count("*").alias("n"), F.count_if("in_force").alias("n_in_force"))
     out = points.select(key).join(best, key, "left").join(counts, key, "left")
@@ -100,14 +91,14 @@ def local_plans(points: DataFrame, key: str, acts: DataFrame) -> DataFrame:
 def planning_zones(points: DataFrame, key: str, acts: DataFrame, zones: DataFrame, infill: DataFrame) -> DataFrame:
     """``(key, general_plan, act, zone, zone_name, buildable, infill, indicators)`` at each point.
 
-    ``acts`` has ``(act, ring)``, ``zones`` ``(zone, fields, ring)`` with a map of raw attributes,
-    ``infill`` ``(ring)``. Without an act the infill is unknown; with one, no hit means outside.
+    ``acts`` has ``act``, ``zones`` have ``zone`` and ``fields``, a map of raw attributes, and all three
+    layers have an outline as in ``local_plans``. Without an act the infill is unknown; with one, no hit means outside.
     Of several hits the first by name counts.
     """
     spots = points.select(key, "e", "n")
-    act = covering(spots, acts.select("act", "ring")).groupBy(key).agg(F.min("act").alias("act"))
-    zone = covering(spots, zones.select("zone", "fields", "ring")).groupBy(key).agg(F.min_by(F.struct("zone", "fields"), F.struct("zone", F.to_json("fields"))).alias("z"))
-    filled = covering(spots, infill.select("ring")).select(key).distinct().withColumn("hit", F.lit(True))
+    act = covering(spots, _outlined(acts, "act")).groupBy(key).agg(F.min("act").alias("act"))
+    zone = covering(spots, _outlined(zones, "zone", "fields")).groupBy(key).agg(F.min_by(F.struct("zone", "fields"), F.struct("zone", F.to_json("fields"))).alias("z"))
+    filled = covering(spots, _outlined(infill)).select(key).distinct().withColumn("hit", F.lit(True))
     out = points.select(key).join(act, key, "left").join(zone, key, "left").join(filled, key, "left")
     planned = F.col("act").isNotNull()
     symbol = F.when(planned, F.col("z.zone"))
@@ -124,7 +115,7 @@ def flood_zones(points: DataFrame, key: str, zones: DataFrame, order: tuple[str,
 
     ``checked`` are the scenarios whose layers could be read; no hit in another one says nothing.
     """
-    hit = covering(points.select(key, "e", "n"), zones.where(F.col("scenario").isin(*checked)).select("scenario", "ring")).groupBy(key).agg(F.collect_set("scenario").alias("s"))
+    hit = covering(points.select(key, "e", "n"), _outlined(zones.where(F.col("scenario").isin(*checked)), "scenario")).groupBy(key).agg(F.collect_set("scenario").alias("s"))
     ranked = F.filter(F.array(*[F.lit(o) for o in order]), lambda o: F.array_contains(F.col("s"), o))
     found = points.select(key).join(hit.select(key, ranked.alias("floods")), key, "left")
     return found.select(key, F.coalesce("floods", F.array().cast("array<string>")).alias("floods"), F.lit(set(checked) >= set(order)).alias("flood_checked"))
@@ -176,19 +167,22 @@ def match_parcels(offers: DataFrame, parcels: DataFrame, around: float = AROUND_
 
     A parcel around the point whose area fits the declared one is ``high``, of several the one that
     fits best. Else the best fitting area, then the nearest, is ``medium``, or ``low`` if the second
-    of that order is as near to within ``rival_m``; else a parcel around the point is ``low``; else
+    of that order is as near to within ``rival_m``; of rows of one parcel id the smallest counts. Parcels
+    have an outline as in ``local_plans``. Else a parcel around the point is ``low``; else
     the quality is ``none``. Ties go to the smaller parcel id. ``high`` and ``medium`` are usable.
     """
-    ring, e, n = F.col("ring"), F.col("e"), F.col("n")
-    numbered = staged(parcels.select("parcel_id", "ring", geo.area(ring).alias("parcel_area")), "parcels")
-    box = geo.bounds(ring)
+    e, n, polygons = F.col("e"), F.col("n"), F.col("polygons")
+    of_one = F.min(F.struct(geo.polygons_area(polygons).alias("parcel_area"), "polygons")).alias("o")
+    numbered = staged(_outlined(parcels, "parcel_id").groupBy("parcel_id").agg(of_one).select("parcel_id", "o.polygons", "o.parcel_area"), "parcels")
+    box = geo.polygons_bounds(polygons)
     wide = F.struct((box["e_min"] - around).alias("e_min"), (box["n_min"] - around).alias("n_min"), (box["e_max"] + around).alias("e_max"), (box["n_max"] + around).alias("n_max"))
-    listed = staged(_listed(numbered.select("parcel_id", "ring"), wide, 500.0).drop("ring"), "parcel-cells")
-    pairs = _placed(offers.select("offer_id", "e", "n", "declared_m2"), listed, 500.0).join(listed, ["__level", "__cell"]).join(numbered, "parcel_id")
-    pairs = pairs.where(e.between(wide["e_min"], wide["e_max"]) & n.between(wide["n_min"], wide["n_max"])).withColumn("far", geo.point_distance(e, n, ring)).where(F.col("far") <= farthest)
+    listed = staged(_listed(numbered.select("parcel_id", wide.alias("wide")), F.col("wide"), 500.0), "parcel-cells")
+    pairs = _placed(offers.select("offer_id", "e", "n", "declared_m2"), listed, 500.0).join(listed, ["__level", "__cell"])
+    pairs = pairs.where(e.between(F.col("wide.e_min"), F.col("wide.e_max")) & n.between(F.col("wide.n_min"), F.col("wide.n_max"))).join(numbered, "parcel_id")
+    pairs = pairs.withColumn("far", geo.polygons_distance(e, n, polygons)).where(F.col("far") <= farthest)
     known = (F.col("parcel_area") > 0) & (F.col("declared_m2") > 0)  # least and greatest skip nulls
     ratio = F.when(known, F.least("parcel_area", "declared_m2") / F.greatest("parcel_area", "declared_m2"))
-    inside = geo.inside(e, n, ring) & (geo.line_distance(e, n, ring) > 0)
+    inside = geo.in_polygons(e, n, polygons) & (geo.polygons_line_distance(e, n, polygons) > 0)
     pairs = pairs.select("offer_id", "parcel_id", "far", ratio.alias("ratio"), inside.alias("inside")).withColumn("fits", F.coalesce(F.col("ratio") >= 1 - tolerance, F.lit(False)))
     pairs = staged(pairs, "parcel-pairs")
     one = F.struct((-F.coalesce("ratio", F.lit(0.0))).alias("worse"), "far", "parcel_id", "ratio")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotlens.functions import geo
 from plotlens.operators import layers as la
-from plotlens.plans.views import OFFERS, TARGETS, offers, plain, targets
+from plotlens.plans.views import OFFERS, TARGETS, offers, plain, table, targets
 
 #: Half the side of a square.
 HALF = 900.0
@@ -37,13 +37,36 @@ def offers_near_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("target_id").agg(F.count("*").alias("n"), F.round(F.min("dist_m"), 6).alias("nearest_m"))
 
 
-QUERIES = {f.__name__: f for f in (ring_measures, offers_in_squares, offers_near_diagonals)}
+def long_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zone for each nation: two long bands across the land, the first with a hole."""
+    k = F.col("n_nationkey")
+
+    def band(e0, e1, slope, base, low, high):
+        at = lambda e, up: F.struct(F.lit(e).alias("e"), (base + slope * e + up).cast("double").alias("n"))
+        return F.array(at(e0, low), at(e1, low), at(e1, high), at(e0, high), at(e0, low))
+
+    first, second = 3500.0 * k - 30_000.41, 3500.0 * k + 10_000.73
+    bands = F.array(F.array(band(0.37, 60_000.37, 0.5, first, 0, 400), band(20_000.37, 30_000.37, 0.5, first, 100, 200)), F.array(band(60_010.37, 100_050.37, -0.25, second, 0, 250)))
+    return table(spark, sf_dir, "nation").select(k.alias("zone"), bands.alias("polygons"))
+
+
+def offers_in_long_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many offers lie in each of the long zones."""
+    pairs = la.covering(offers(spark, sf_dir).select("offer_id", "e", "n"), long_zones(spark, sf_dir))
+    return pairs.groupBy("zone").agg(F.count("*").alias("n"), F.min("offer_id").alias("first"), F.sum("offer_id").alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (ring_measures, offers_in_squares, offers_near_diagonals, offers_in_long_zones)}
 
 _BOTH = f"targets AS ({plain(TARGETS)}), offers AS ({plain(OFFERS)})"
 SQL = {
     "ring_measures": f"WITH {_BOTH} SELECT target_id, round(4 * {HALF}::double * {HALF}, 3) AS area, round(8 * {HALF}::double, 3) AS perimeter, round(pi() / 4, 6) AS compactness, round(e, 3) AS e FROM targets",
     "offers_in_squares": f"""WITH {_BOTH} SELECT target_id, count(*) AS n, min(offer_id) AS first FROM targets t JOIN offers o
 ON o.e BETWEEN t.e - {HALF} AND t.e + {HALF} AND o.n BETWEEN t.n - {HALF} AND t.n + {HALF} GROUP BY 1""",
+    "offers_in_long_zones": f"""WITH {_BOTH}, k AS (SELECT n_nationkey AS zone, 3500.0::double * n_nationkey - 30000.41::double AS a, 3500.0::double * n_nationkey + 10000.73::double AS b FROM nation)
+SELECT zone, count(*) AS n, min(offer_id) AS first, sum(offer_id)::bigint AS ids FROM offers JOIN k ON
+  (e BETWEEN 0.37 AND 60000.37 AND n - 0.5::double * e - a BETWEEN 0 AND 400 AND NOT (e BETWEEN 20000.37 AND 30000.37 AND n - 0.5::double * e - a BETWEEN 100 AND 200))
+  OR (e BETWEEN 60010.37 AND 100050.37 AND n + 0.25::double * e - b BETWEEN 0 AND 250) GROUP BY zone""",
     "offers_near_diagonals": f"""WITH {_BOTH}, u AS (
   SELECT target_id, o.e - t.e AS x, o.n - t.n AS y, greatest(-{HALF}, least({HALF}, (o.e - t.e + o.n - t.n) / 2))::double AS u FROM targets t JOIN offers o ON abs(o.n - t.n) <= {HALF} + 100),
 d AS (SELECT target_id, sqrt((x - u) * (x - u) + (y - u) * (y - u)) AS d FROM u)

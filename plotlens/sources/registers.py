@@ -84,7 +84,7 @@ def read_parcels(spark: SparkSession, path: str, row_tag: str = "dzialki") -> Da
         known("ID_DZIALKI").alias("parcel_id"), known("NUMER_DZIALKI").alias("number"), known("NUMER_OBREBU").alias("precinct_no"), known("NAZWA_OBREBU").alias("precinct_name"),
         known("NAZWA_GMINY").alias("municipality_name"), dates.iso_prefix(F.col("DATA")).alias("date"), shape.alias("polygons"),
     )
-    area = F.aggregate("polygons", F.lit(0.0), lambda a, p: a + geo.polygon_area(p))
+    area = geo.polygons_area(F.col("polygons"))
     municipality, precinct = codes.municipality(F.col("parcel_id")), codes.precinct(F.col("parcel_id"))
     return rows.select("*", F.when(F.col("polygons").isNotNull(), area).alias("area_m2"), municipality.alias("municipality"), precinct.alias("precinct"))
 

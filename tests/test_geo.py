@@ -92,7 +92,7 @@ def test_layers(spark):
     r = layers.match_parcels(near, wide).first()
     assert (r.parcel_id, r.quality, r.alternatives, r.usable) == ("Q", "medium", ["P"], True)
     big = spark.createDataFrame([("L", [tuple(map(float, p)) for p in at(-50_000, -50_000, 200_000)])], shape)
-    assert layers.covering(offers, big).count() == 5 and layers._listed(big, geo.bounds(F.col("ring")), 1000.0).count() <= 4
+    assert layers.covering(offers, big).count() == 5
     holed = big.select(F.array("ring", F.array(*[F.struct(F.lit(float(x)).alias("e"), F.lit(float(y)).alias("n")) for x, y in at(0, 0, 30)])).alias("rings"))
     assert sorted(r.offer_id for r in layers.covering(offers, holed).collect()) == [2, 3, 4, 5]
     zones = parcels.select(F.lit("q1").alias("scenario"), "ring").where("parcel_id = 'A'").union(parcels.select(F.lit("q10").alias("scenario"), "ring").where("parcel_id <> 'B'"))
