@@ -25,14 +25,19 @@ def distance(e1, n1, e2, n2) -> Column:
     return F.sqrt(F.pow(F.col(e1) - F.col(e2), 2) + F.pow(F.col(n1) - F.col(n2), 2))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows whose point is finite: not null, not NaN, not infinite."""
+    return rows.where("abs(e) < double('infinity') and abs(n) < double('infinity')")  # NaN is above infinity, null is unknown
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, name: str = "dist_m") -> DataFrame:
     """Pairs of rows at most ``radius`` apart; both have ``e`` and ``n``, the right ones come back as ``e2`` and ``n2``.
 
     Cells are as wide as the radius, so a partner is in the same cell or one next to it. The left,
-    the smaller side, is repeated for nine cells. Rows without a point have no partner.
+    the smaller side, is repeated for nine cells. Rows without a finite point have no partner.
     """
-    a = left.where("e is not null and n is not null").withColumn("__cell", F.explode(around("e", "n", radius)))
-    b = right.where("e is not null and n is not null").withColumnsRenamed({"e": "e2", "n": "n2"}).withColumn("__cell", cell("e2", "n2", radius))
+    a = placed(left).withColumn("__cell", F.explode(around("e", "n", radius)))
+    b = placed(right).withColumnsRenamed({"e": "e2", "n": "n2"}).withColumn("__cell", cell("e2", "n2", radius))
     joined = a.join(b, "__cell").withColumn(name, distance("e", "n", "e2", "n2"))
     return joined.where(F.col(name) <= radius).drop("__cell")
 
@@ -41,10 +46,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: f
     """``(key, right_key, dist_m)``: the nearest right row of each left row, the smaller key on a tie.
 
     A partner within a cell's width is the nearest for sure. Rows without one go on with cells
-    twice as wide, until none is left; each round takes the unresolved rows only.
+    twice as wide, until none is left; each round takes the unresolved rows only. Rows without a
+    finite point, on either side, are left out, so every row that goes on has a partner somewhere.
     """
-    points = right.where("e is not null and n is not null").select(right_key, F.col("e").alias("e2"), F.col("n").alias("n2"))
-    open_ = left.where("e is not null and n is not null").select(key, "e", "n")
+    points = placed(right).select(right_key, F.col("e").alias("e2"), F.col("n").alias("n2"))
+    open_ = placed(left).select(key, "e", "n")
     if points.isEmpty():
         return open_.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("dist_m")).limit(0)
     done = None
@@ -69,8 +75,7 @@ def tiles(points: DataFrame, most: int = 5000, smallest: float = 1000.0, largest
     size = finest = largest
     while finest / 2 >= smallest:
         finest /= 2
-    placed = points.where("e is not null and n is not null")
-    base = staged(placed.groupBy(cell("e", "n", finest).alias("c")).agg(F.count("*").alias("n")).select("c.x", "c.y", "n"), "tile-counts")
+    base = staged(placed(points).groupBy(cell("e", "n", finest).alias("c")).agg(F.count("*").alias("n")).select("c.x", "c.y", "n"), "tile-counts")
     out, open_ = None, base
     while True:
         step = int(size / finest)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotlens.functions import geo, text
-from plotlens.operators.grid import cell
+from plotlens.operators.grid import cell, placed
 from plotlens.operators.tessellation import covering, with_polygons
 from plotlens.session import staged
 
@@ -48,13 +48,13 @@ def _placed(points: DataFrame, listed: DataFrame, size: float) -> DataFrame:
     levels = [r[0] for r in listed.select("__level").distinct().collect()]
     at = [F.struct(F.lit(k).alias("level"), cell("e", "n", size * 2.0**k).alias("cell")) for k in levels]
     at = F.array(*at) if at else F.array().cast("array<struct<level:int,cell:struct<x:bigint,y:bigint>>>")
-    return points.where("e is not null and n is not null").select("*", F.explode(at).alias("__at")).select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
+    return placed(points).select("*", F.explode(at).alias("__at")).select("*", F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell")).drop("__at")
 
 
 def lines_within(points: DataFrame, lines: DataFrame, radius: float, name: str = "dist_m") -> DataFrame:
     """Pairs of a point and a line (``line``) at most ``radius`` apart; a line is listed side by side, not by its box."""
     size = max(radius, 1.0)
-    spots = staged(points.where("e is not null and n is not null").withColumn("__p", F.monotonically_increasing_id()), "points")
+    spots = staged(placed(points).withColumn("__p", F.monotonically_increasing_id()), "points")
     numbered = staged(lines.withColumn("__id", F.monotonically_increasing_id()), "lines")
     sides = numbered.select("__id", F.explode(geo.edges(F.col("line"))).alias("s"))
     s = F.col("s")

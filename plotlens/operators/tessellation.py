@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotlens.functions import geo
+from plotlens.operators.grid import placed
 from plotlens.session import drop_staged, staged
 
 #: Width of a border cell in metres, sides that one may have, and how often it is halved for them at most.
@@ -138,8 +139,7 @@ def candidates(points: DataFrame, cells: DataFrame) -> DataFrame:
     at = lambda c, o, k: f"floor(({c} - {o!r}D) / {SIZE_M * 2.0**k!r}D)"
     keys = ", ".join(f"named_struct('level', {k}, 'x', {at('e', ORIGIN[0], k)}, 'y', {at('n', ORIGIN[1], k)})" for k in levels)
     keys = f"array({keys})" if levels else "cast(array() as array<struct<level:int,x:bigint,y:bigint>>)"
-    finite = points.where("e is not null and n is not null and not isnan(e) and not isnan(n)").withColumn("__key", F.explode(F.expr(keys)))
-    return finite.join(cells.selectExpr("id", "named_struct('level', level, 'x', x, 'y', y) AS __key", "inner", "sides", "odd", "sure"), "__key")
+    return placed(points).withColumn("__key", F.explode(F.expr(keys))).join(cells.selectExpr("id", "named_struct('level', level, 'x', x, 'y', y) AS __key", "inner", "sides", "odd", "sure"), "__key")
 
 
 def covering(points: DataFrame, shapes: DataFrame) -> DataFrame:

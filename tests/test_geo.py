@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotlens.functions import geo
-from plotlens.operators import layers
+from plotlens.operators import grid, layers
 
 
 def ring(*points):
@@ -99,3 +99,13 @@ def test_layers(spark):
     assert {r.offer_id: r.floods for r in layers.flood_zones(offers, "offer_id", zones).collect()} == {1: ["q10", "q1"], 2: [], 3: ["q10"], 4: [], 5: ["q10"]}
     acts = spark.createDataFrame([(1, "x", False, "2020-01-01"), (1, "y", True, "2010-01-01"), (1, "z", True, None)], "k int, act string, in_force boolean, since string").withColumn("since", F.to_date("since"))
     assert layers.acts_in_force(acts, "k", "act", "in_force", "since").first().act == "y"
+
+
+def test_points_that_are_none(spark):
+    inf, nan = float("inf"), float("nan")
+    left = spark.createDataFrame([(1, nan, 0.0), (2, 0.0, inf), (3, 3.0, 4.0), (4, None, 1.0), (5, -inf, nan)], "k int, e double, n double")
+    right = spark.createDataFrame([(1, 0.0, 0.0), (2, nan, 4.0), (3, 3.0, -inf), (4, None, None)], "r int, e double, n double")
+    assert [tuple(x) for x in grid.nearest(left, right, "k", "r", 1.0).collect()] == [(3, 1, 5.0)]
+    assert [(x.k, x.r) for x in grid.within(left, right, 5.0).collect()] == [(3, 1)]
+    assert grid.nearest(left, right.where("r > 1"), "k", "r", 1.0).count() == 0
+    assert grid.tiles(left).agg({"n": "sum"}).first()[0] == 1
