@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotlens.session import staged
@@ -42,29 +42,68 @@ def within(left: DataFrame, right: DataFrame, radius: float, name: str = "dist_m
     return joined.where(F.col(name) <= radius).drop("__cell")
 
 
+#: Cells of one width that a cell of the next one is cut into, along a side.
+FAN = 4
+
+
+def closest_cells(asked: DataFrame, counts: DataFrame, key: str, width: float, top: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, x, y)``: the cells of ``width`` that may hold one of the ``need`` nearest points of a row, at most ``limit`` away.
+
+    ``asked`` has ``key, e, n, need, limit``, the columns ``by`` and the cells ``start`` of the widest grid, ``top`` steps
+    up. ``counts`` has a row ``x, y, held`` for each value of ``by`` and cell with a point that may count for it, and how
+    many surely do. Going down a step, the farthest corners of the cells bound the distance of the last point that is
+    needed, and a cell that begins beyond the bound goes. So counts are read of a few cells a step, and no points at all.
+    """
+    names = [key, "e", "n", "need", "limit", *by]
+    open_ = asked.select(*names, F.explode("start").alias("c")).select(*names, "c.x", "c.y")
+    inner = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(FAN) for dy in range(FAN)])
+    for step in range(top, -1, -1):
+        size, part = width * FAN**step, FAN**step
+        level = counts.groupBy(*by, F.floor(F.col("x") / part).alias("x"), F.floor(F.col("y") / part).alias("y")).agg(F.sum("held").alias("held")) if step else counts
+        cells = open_.join(level, [*by, "x", "y"])
+        for axis, point in (("x", "e"), ("y", "n")):
+            low, high = F.col(axis) * size - F.col(point), (F.col(axis) + 1) * size - F.col(point)
+            cells = cells.withColumns({f"near_{axis}": F.greatest(low, -high, F.lit(0.0)), f"far_{axis}": F.greatest(-low, high)})
+        cells = cells.select(*names, "x", "y", "held", *[F.sqrt(F.pow(f"{w}_x", 2) + F.pow(f"{w}_y", 2)).alias(w) for w in ("near", "far")])
+        so_far = F.sum("held").over(Window.partitionBy(key).orderBy("far", "x", "y").rowsBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("so_far") >= F.col("need"), F.col("far"))).over(Window.partitionBy(key))
+        reach = F.least(bound, F.col("limit"))  # that of the two which is known
+        cells = cells.withColumn("so_far", so_far).withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("near") <= F.col("reach") * (1 + 1e-9) + 1e-3))
+        if step:
+            open_ = cells.select(*names, "x", "y", F.explode(inner).alias("d")).select(*names, (F.col("x") * FAN + F.col("d.dx")).alias("x"), (F.col("y") * FAN + F.col("d.dy")).alias("y"))
+    return cells.select(key, "x", "y")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float) -> DataFrame:
     """``(key, right_key, dist_m)``: the nearest right row of each left row, the smaller key on a tie.
 
-    A partner within a cell's width is the nearest for sure. Rows without one go on with cells
-    twice as wide, until none is left; each round takes the unresolved rows only. Rows without a
-    finite point, on either side, are left out, so every row that goes on has a partner somewhere.
+    Two rounds. A partner within ``size`` is looked for in the cell of that width and its neighbours. For rows without one,
+    counts by cell, from cells around all points down to those of ``size``, tell where the nearest point may be
+    (``closest_cells``). Points of one place are one candidate: the smallest key stands for them. Rows without a finite
+    point, on either side, are left out.
     """
-    points = placed(right).select(right_key, F.col("e").alias("e2"), F.col("n").alias("n2"))
-    open_ = placed(left).select(key, "e", "n")
-    if points.isEmpty():
-        return open_.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("dist_m")).limit(0)
-    done = None
-    while True:
-        a = open_.withColumn("__cell", F.explode(around("e", "n", size)))
-        b = points.withColumn("__cell", cell("e2", "n2", size))
-        pairs = a.join(b, "__cell").withColumn("dist_m", distance("e", "n", "e2", "n2")).where(F.col("dist_m") <= size)
-        best = staged(pairs.groupBy(key).agg(F.min(F.struct("dist_m", right_key)).alias("best")), "nearest")
-        found = best.select(key, f"best.{right_key}", "best.dist_m")
-        done = found if done is None else done.union(found)
-        open_ = open_.join(best.select(key), key, "left_anti")
-        if open_.isEmpty():
-            return done
-        size *= 2
+    points = placed(right).groupBy((F.col("e") + 0.0).alias("e2"), (F.col("n") + 0.0).alias("n2")).agg(F.min(right_key).alias(right_key))
+    points = staged(points.withColumn("c", cell("e2", "n2", size)).select("c.x", "c.y", "e2", "n2", right_key), "nearest-points")
+    extent = points.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
+    asked = placed(left).select(key, "e", "n")
+    if extent["min_x"] is None:
+        return asked.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("dist_m")).limit(0)
+    asked = staged(asked, "nearest-asked")
+
+    def best_of(cells: DataFrame) -> DataFrame:
+        pairs = cells.join(points, ["x", "y"]).withColumn("dist_m", distance("e", "n", "e2", "n2"))
+        return pairs.groupBy(key).agg(F.min(F.struct("dist_m", right_key)).alias("best")).select(key, f"best.{right_key}", "best.dist_m")
+
+    near = staged(best_of(asked.withColumn("c", F.explode(around("e", "n", size))).select(key, "e", "n", "c.x", "c.y")).where(F.col("dist_m") <= size), "nearest-first")
+    open_ = asked.join(near.select(key), key, "left_anti").withColumns({"need": F.lit(1), "limit": F.lit(None).cast("double")})
+    top, spread = 0, [range(extent[f"min_{c}"], extent[f"max_{c}"] + 1) for c in ("x", "y")]
+    while max(s.stop - s.start for s in spread) > FAN**top:
+        top += 1
+    columns, lines = (sorted({s[0] // FAN**top, s[-1] // FAN**top}) for s in spread)  # two at most
+    start = F.array(*[F.struct(F.lit(x).cast("bigint").alias("x"), F.lit(y).cast("bigint").alias("y")) for x in columns for y in lines])
+    counts = staged(points.groupBy("x", "y").agg(F.count("*").alias("held")), "nearest-cells")
+    far = closest_cells(open_.withColumn("start", start), counts, key, size, top)
+    return near.union(staged(best_of(far.join(open_.select(key, "e", "n"), key)), "nearest-far"))
 
 
 def tiles(points: DataFrame, most: int = 5000, smallest: float = 1000.0, largest: float = 64_000.0) -> DataFrame:
