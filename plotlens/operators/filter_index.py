@@ -33,6 +33,13 @@ def filter_table(spark: SparkSession, filters: dict[int, OfferFilter]) -> DataFr
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def completed(filters: DataFrame) -> DataFrame:
+    """A ``filter_table`` of the conditions that ``filters`` has as columns; the others are not asked, further columns stay."""
+    known = [c.split() for c in SCHEMA.split(", ")]
+    more = [c for c in filters.columns if c not in {k for k, _ in known}]
+    return filters.select(*[(F.col(k) if k in filters.columns else F.lit(None)).cast(t).alias(k) for k, t in known], *more)
+
+
 def _quarters(value: Column) -> Column:
     """Quarters of octaves of a number, everything below 1 as 1; null stays null."""
     return F.when(value >= 1, F.log2(value.cast("double")) * 4).when(value.isNotNull(), 0.0)

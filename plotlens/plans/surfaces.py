@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotlens.functions import codes, text
 from plotlens.functions.price import within
 from plotlens.operators import changes as ch
+from plotlens.operators import filter_index
 from plotlens.operators import kinds
 from plotlens.operators import offers as o
 from plotlens.operators import quality as q
@@ -55,6 +56,31 @@ def saved_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.groupBy("filter_id").agg(F.count("*").alias("n"), F.count_if("send").alias("to_send"), F.max("place").alias("last_place"))
 
 
+WISHES = """
+SELECT c.c_custkey AS filter_id, c.c_custkey % 10 = 0 AS first_run,
+       CASE c.c_custkey % 4 WHEN 0 THEN concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0'), lpad(cast(c.c_custkey % 8 + 1 AS string), 2, '0'))
+            WHEN 3 THEN concat(lpad(cast(2 * n.n_regionkey + 2 AS string), 2, '0'), lpad(cast(n.n_nationkey + 1 AS string), 2, '0')) END AS area,
+       CASE WHEN c.c_custkey % 4 = 1 THEN cast(floor(abs(c.c_acctbal) * 10000) AS bigint) END AS price_min,
+       CASE WHEN c.c_custkey % 4 = 1 THEN cast(floor(abs(c.c_acctbal) * 10100) AS bigint) END AS price_max,
+       CASE WHEN c.c_custkey % 4 = 2 THEN 'alfa' END AS portal,
+       CASE WHEN c.c_custkey % 4 >= 2 THEN 300 + (c.c_custkey * 31) % 2700 END AS area_min,
+       CASE WHEN c.c_custkey % 4 >= 2 THEN 300 + (c.c_custkey * 31) % 2700 + 20 * (c.c_custkey % 4 - 1) END AS area_max
+FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey
+"""
+
+
+def indexed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved filter of each customer against all active offers, less those that are the customer's own, as already sent."""
+    wishes = v.view(spark, sf_dir, WISHES)
+    listed = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    filters = filter_index.completed(wishes.withColumn("areas", listed("area")).withColumn("portals", listed("portal")).drop("area", "portal"))
+    rows = v.offers(spark, sf_dir).where("active").select("offer_id", "portal", "price_grosze", "area_m2", "municipality")
+    rows = rows.withColumn("deal", -(F.col("price_grosze") / 100 / F.col("area_m2")))
+    log = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("filter_id"), F.col("o_orderkey").alias("offer_id"))
+    found = filter_index.matches(rows, filters, log)
+    return found.groupBy("filter_id").agg(F.count("*").alias("n"), F.count_if("send").alias("to_send"), F.max("place").alias("last_place"), F.sum(F.col("offer_id") * F.col("place")).alias("digest"))
+
+
 def kind_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.offers(spark, sf_dir).where("active").withColumn("kind", codes.ad_segment(F.lower("purpose")))
     return o.facets(rows, "kind", ["lesna", "mieszkaniowa_jednorodzinna", "rolna", "rekreacyjna", "uslugowa_produkcyjna"])
@@ -196,7 +222,7 @@ def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        offer_list, offers_by_score, saved_filter_counts, kind_facets, county_facets, header_statistics, offer_features, offer_changes, price_history, offer_activity, source_activity,
+        offer_list, offers_by_score, saved_filter_counts, indexed_filters, kind_facets, county_facets, header_statistics, offer_features, offer_changes, price_history, offer_activity, source_activity,
         source_problems, daily_windows, merged_state, idempotent_insert, rebuilt_pairs, later_sales, text_audit, scrubbed_documents, scrub_residue, table_counts, title_tokens, area_codes,
         page_titles, tolerance_pairs, latest_per_group,
     )
@@ -229,6 +255,13 @@ SQL = {
 hits AS (SELECT 1 AS filter_id, offer_id, deviation FROM f1 WHERE offer_id % 2 <> 0 UNION ALL SELECT 2, offer_id, deviation FROM f2 WHERE offer_id % 2 <> 0 UNION ALL SELECT 3, offer_id, deviation FROM f3),
 placed AS (SELECT *, row_number() OVER (PARTITION BY filter_id ORDER BY -deviation DESC NULLS LAST, offer_id) AS place FROM hits)
 SELECT filter_id, count(*) AS n, count(*) FILTER (filter_id <> 3) AS to_send, max(place) AS last_place FROM placed WHERE filter_id = 3 OR place <= 10 GROUP BY 1""",
+    "indexed_filters": f"""WITH {_OFFERS}, wishes AS ({v.plain(WISHES)}),
+hits AS (SELECT w.filter_id, w.first_run, o.offer_id, -(o.price_grosze / 100.0::double / o.area_m2) AS deal FROM wishes w JOIN offers o ON o.active
+  AND (w.area IS NULL OR starts_with(o.municipality, w.area)) AND (w.portal IS NULL OR o.portal = w.portal) AND (w.price_min IS NULL OR o.price_grosze BETWEEN w.price_min AND w.price_max)
+  AND (w.area_min IS NULL OR o.area_m2 BETWEEN w.area_min AND w.area_max)
+  WHERE NOT EXISTS (SELECT 1 FROM orders l WHERE l.o_custkey = w.filter_id AND l.o_orderkey = o.offer_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY filter_id ORDER BY deal DESC NULLS LAST, offer_id) AS place FROM hits)
+SELECT filter_id, count(*) AS n, count(*) FILTER (NOT first_run) AS to_send, max(place) AS last_place, sum(offer_id * place)::bigint AS digest FROM placed WHERE first_run OR place <= 10 GROUP BY 1""",
     "kind_facets": f"""WITH {_OFFERS}, k AS (SELECT {_KIND} AS value FROM offers WHERE active)
 SELECT l.value, count(k1) AS n FROM (SELECT unnest(['lesna', 'mieszkaniowa_jednorodzinna', 'rolna', 'rekreacyjna', 'uslugowa_produkcyjna', NULL]) AS value) l
 LEFT JOIN (SELECT value AS k0, 1 AS k1 FROM k) ON k0 IS NOT DISTINCT FROM l.value GROUP BY 1""",
