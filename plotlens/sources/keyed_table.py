@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -197,7 +198,7 @@ class KeyedTable:
         out = rows.groupBy("key").agg(row.alias("b"))
         dealt = F.pmod(F.xxhash64(*[F.col("key").getField(k) for k in self.by]), F.lit(buckets)).cast("int")
         out = staged(out.select(dealt.alias("bucket"), "key", "b"), "batch-by-key", keep=True)
-        return out, seen.get["incomplete"]
+        return out, _counted(seen, ["incomplete"])["incomplete"]
 
     def _met(self, held: dict | None, schema: StructType, buckets: int, new: DataFrame, touched: list[int]) -> DataFrame:
         """``(bucket, key, a, b)``: rows of the touched buckets and of the batch that share a key; one shuffle, by bucket.
@@ -222,7 +223,7 @@ class KeyedTable:
         folders |= {n.removeprefix("bucket="): folder for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
         version = held["version"] + 1 if held else 1
         runs = (held["runs"] if held else {}) | ({run[0]: run[1]} if run else {})
-        found = {n: seen.get[n] for n in counts}
+        found = _counted(seen, counts)
         self._publish({"version": version, "keys": self.keys, "by": self.by, "buckets": buckets, "schema": schema.jsonValue(), "folders": folders, "runs": runs, "counts": found})
         return {"version": version, **found}
 
@@ -271,3 +272,12 @@ class KeyedTable:
 def _col(name: str) -> Column:
     """A column by its plain name, whatever characters that has."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _counted(seen: Observation, names: Iterable[str]) -> dict[str, int]:
+    """The counts of a write that has ended; a plan that the optimizer finds empty reports none, not even zeros."""
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        found = {}
+    return {n: found.get(n, 0) for n in names}
