@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotlens.plans import cards, duplicates, enrichment, layers, market, scoring, streams, surfaces, valuation
+from plotlens.plans import cards, duplicates, enrichment, layers, market, scoring, streams, surfaces, tables, valuation
 
-MODULES = [market, valuation, scoring, duplicates, surfaces, streams, layers, enrichment, cards]
+MODULES = [market, valuation, scoring, duplicates, surfaces, streams, layers, enrichment, cards, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
