@@ -51,8 +51,12 @@ class KeyedTable:
         known = self.versions()
         if not known:
             return None
-        path = f"{self.path}/manifests/{version or known[-1]:010d}.json"
-        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+        path = self._path(f"manifests/{version or known[-1]:010d}.json")
+        stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of a snapshot, of all buckets or of those named."""
