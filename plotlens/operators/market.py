@@ -123,6 +123,21 @@ def quarterly_history(sales: DataFrame, last_sale: Column | None = None) -> Data
     )
 
 
+def skipped_quarters(sales: DataFrame) -> DataFrame:
+    """``(level, area, quarters, skipped)``: quarters with sales, and how many of them ``quarterly_history`` leaves out as too thin."""
+    rows = sales.groupBy("municipality", F.trunc("sale_date", "quarter").alias("quarter")).agg(F.count("*").alias("c"))
+    sums = hierarchy.at_levels(rows, "municipality").groupBy("level", "area", "quarter").agg(F.sum("c").alias("n"))
+    return sums.groupBy("level", "area").agg(F.count("*").alias("quarters"), F.count_if(F.col("n") < QUARTER_SALES).alias("skipped"))
+
+
+def imported(tx: DataFrame) -> DataFrame:
+    """``(level, area, n, first, last)`` of all imported sales; those whose parcel has no valid code are area ``None``."""
+    rows = tx.groupBy(codes.municipality(F.col("parcel_id")).alias("municipality")).agg(F.count("*").alias("c"), F.min("sale_date").alias("a"), F.max("sale_date").alias("b"))
+    levels = hierarchy.at_levels(rows, "municipality").select("level", "area", "c", "a", "b")
+    rest = rows.where("municipality is null").select(F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("area"), "c", "a", "b")
+    return levels.union(rest).groupBy("level", "area").agg(F.sum("c").alias("n"), F.min("a").alias("first"), F.max("b").alias("last"))
+
+
 def trends(history: DataFrame, quarters: int = 6, typical: int = 10, years: float = 2.0) -> DataFrame:
     """``(level, area, yearly)``: the median slope of the complete quarters' log prices, as a yearly change.
 

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What an e-mail address and a phone number look like in a text, and what replaces them.
+#: What an e-mail address, a phone number and a stored hash look like, how long a packed field may be, and what replaces a finding.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)|[0-9]{3})[ -][0-9]{3}[ -][0-9]{3,4}(?![0-9])"
+HASH, LONGEST = "^[0-9a-f]{64}$", 2000
 EMAIL_MARK, PHONE_MARK = "[email]", "[phone]"
 
 
@@ -29,6 +30,18 @@ def audit(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def misfits(df: DataFrame, hashes: tuple[str, ...] = (), packed: tuple[str, ...] = ()) -> DataFrame:
+    """``(rule, column, n)``: values of ``hashes`` that are no SHA-256, and values of ``packed`` too long for anything but copied text.
+
+    Nulls fit; a packed column that is no string counts by its JSON.
+    """
+    kinds = dict(df.dtypes)
+    text = lambda c: F.col(c) if kinds[c] == "string" else F.to_json(c)
+    rules = [("no_hash", c, ~F.rlike(F.col(c), F.lit(HASH))) for c in hashes] + [("too_long", c, F.length(text(c)) > LONGEST) for c in packed]
+    parts = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), F.count_if(found).alias("n")) for rule, c, found in rules]
+    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def residue(df: DataFrame, text: str) -> DataFrame:
     """One row: what a scrub finds before and after, and whether a second scrub changes anything."""
     clean = scrub(F.col(text))

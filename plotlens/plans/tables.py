@@ -1,4 +1,4 @@
-"""Tables that are written in batches: a keyed state, a rebuilt table, medians kept up to date."""
+"""Tables that are written in batches (a keyed state, a rebuilt table, medians kept up to date), and what was imported."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotlens.functions import price
-from plotlens.operators import hierarchy
+from plotlens.operators import hierarchy, market, quality
 from plotlens.operators.stored_quantiles import StoredQuantiles
 from plotlens.plans import views as v
 from plotlens.plans.market import SALES, _sales
@@ -59,7 +59,21 @@ def stored_yearly_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read().select("level", "area", "segment", "year", "n", F.round(F.col("q")[0], 6).alias("median"))
 
 
-QUERIES = {f.__name__: f for f in (keyed_state, rebuilt_counts, stored_yearly_medians)}
+def thin_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.skipped_quarters(_sales(spark, sf_dir))
+
+
+def imported_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.imported(v.transactions(spark, sf_dir))
+
+
+def field_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose phone was to be stored as a hash, and was not for one in ten, and the length of their documents."""
+    customers = v.table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")).otherwise(F.sha2("c_name", 256)).alias("phone_hash"))
+    return quality.misfits(customers, hashes=("phone_hash",)).union(quality.misfits(v.table(spark, sf_dir, "documents"), packed=("text",)))
+
+
+QUERIES = {f.__name__: f for f in (keyed_state, rebuilt_counts, stored_yearly_medians, thin_quarters, imported_sales, field_misfits)}
 
 SQL = {
     "keyed_state": """WITH e AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN value END AS known FROM events)
@@ -71,4 +85,14 @@ runs AS (SELECT municipality, purpose, count(*) AS n1, count(*) FILTER (WHERE of
 SELECT municipality, purpose, CASE WHEN n2 > 0 THEN n2 ELSE n1 END AS n, CASE WHEN n2 > 0 THEN 2 ELSE 1 END AS run, CASE WHEN n1 % 2 = 0 THEN true END AS looked_at
 FROM runs WHERE n2 > 0 OR n1 % 2 = 0""",
     "stored_yearly_medians": f"WITH {SALES} SELECT level, area, segment, year(sale_date)::int AS year, count(*) AS n, round(median(norm), 6) AS median FROM levels WHERE area IS NOT NULL GROUP BY ALL",
+    "thin_quarters": f"""WITH {SALES}, q AS (SELECT level, area, date_trunc('quarter', sale_date) AS quarter, count(*) AS n FROM levels WHERE area IS NOT NULL GROUP BY ALL)
+SELECT level, area, count(*) AS quarters, count(*) FILTER (WHERE n < 5) AS skipped FROM q GROUP BY ALL""",
+    "imported_sales": f"""WITH tx AS ({v.plain(v.TX)}),
+m AS (SELECT sale_date, CASE WHEN regexp_matches(parcel_id, '^\\d{{6}}_\\d\\.') THEN substr(parcel_id, 1, 6) || substr(parcel_id, 8, 1) END AS municipality FROM tx),
+l AS (SELECT CASE WHEN municipality IS NOT NULL THEN 'gmina' END AS level, municipality AS area, sale_date FROM m UNION ALL
+  SELECT 'powiat', substr(municipality, 1, 4), sale_date FROM m WHERE municipality IS NOT NULL UNION ALL
+  SELECT 'wojewodztwo', substr(municipality, 1, 2), sale_date FROM m WHERE municipality IS NOT NULL)
+SELECT level, area, count(*) AS n, min(sale_date) AS first, max(sale_date) AS last FROM l GROUP BY ALL""",
+    "field_misfits": """SELECT 'no_hash' AS rule, 'phone_hash' AS "column", count(*) FILTER (WHERE c_custkey % 10 = 0) AS n FROM customer
+UNION ALL SELECT 'too_long', 'text', count(*) FILTER (WHERE length(text) > 2000) FROM documents""",
 }

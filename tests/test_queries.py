@@ -14,7 +14,7 @@ CHECKED = (
     "composite_scores", "score_histogram", "duplicate_clusters", "saved_filter_counts", "indexed_filters", "price_history", "daily_windows", "merged_state", "rebuilt_pairs", "text_audit",
     "enrichment", "stored_parcels", "parcel_shapes", "text_values", "ad_pages", "page_details", "plot_numbers", "plot_kinds", "saved_offers", "health_report",
     "usable_spreads", "fitted_curves", "scrubbed_documents", "scrub_residue", "review_pairs", "offers_in_squares", "offers_in_long_zones", "offers_near_diagonals", "asking_spread", "weight_sensitivity", "market_history",
-    "keyed_state", "rebuilt_counts", "stored_yearly_medians",
+    "keyed_state", "rebuilt_counts", "stored_yearly_medians", "thin_quarters", "imported_sales", "field_misfits",
 )
 
 
