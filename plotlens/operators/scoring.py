@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotlens.functions import text
-from plotlens.functions.price import scaled
+from plotlens.functions.price import half_even, scaled
 
 #: Value range of each planning status, and points of the planning pillar.
 RANGES = {"A": (1.00, 1.00), "B": (0.90, 1.00), "C": (0.85, 0.95), "D": (0.30, 0.50), "E": (0.50, 0.75), "?": (0.50, 1.00)}
@@ -35,7 +35,7 @@ def mean_of(*parts: Column) -> Column:
     """The mean of the known parts, rounded at one place; null if none is known."""
     known = F.array_compact(F.array(*parts))
     total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(known) > 0, F.bround(total / F.size(known), 1))
+    return F.when(F.size(known) > 0, half_even(total / F.size(known), 1))
 
 
 def planning_status(df: DataFrame) -> DataFrame:
@@ -148,8 +148,8 @@ def composite(df: DataFrame, profile: str = "retail", rounded: bool = True, name
     """
     weights = weights or WEIGHTS[profile]
     raw, share = weighted(F.col("pillars"), weights)
-    coverage = F.bround(share, 3) if rounded else share
-    score = F.when(coverage >= LEAST_COVERAGE, F.bround(F.round(raw * F.col("multiplier"), 9), 1))  # a sum in another order tips no tie
+    coverage = half_even(share, 3) if rounded else share
+    score = F.when(coverage >= LEAST_COVERAGE, half_even(F.round(raw * F.col("multiplier"), 9), 1))  # a sum in another order tips no tie
     lacking = F.filter(F.array(*[F.lit(k) for k in sorted(weights)]), lambda k: F.element_at(F.col("pillars"), k).isNull())
     return df.withColumns({name: score, "coverage": coverage, "lacking": lacking})
 
