@@ -59,3 +59,14 @@ def test_a_dense_city_costs_no_more_than_what_is_fetched(spark):
     asked = points.where("r % 400 = 0").withColumnRenamed("r", "k").withColumns({"need": F.lit(20), "limit": F.lit(15_000.0), "start": start})
     met = grid.closest_cells(asked, cells, "k", width, top).join(cells, ["x", "y"]).groupBy("k").agg(F.sum("held").alias("n")).agg(F.count("*"), F.max("n")).first()
     assert met[0] == 100 and met[1] <= 20 * 15
+
+
+def test_cells_follow_the_density_of_sales(spark):
+    """60,000 sales in 6 x 6 km, and 5,000 at one spot: cells of a fixed width hold ten times as many in a table ten times as dense."""
+    i = F.col("id")
+    sales = spark.range(60_000).select(((i * 7919) % 6_000).cast("double").alias("e2"), ((i * 104_729) % 6_007).cast("double").alias("n2"))
+    width = valuation._cell_width(sales)
+    held = sales.groupBy(grid.cell("e2", "n2", width).alias("c")).agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
+    assert held <= 2 * valuation.CELL_SALES < 60_000 / 36 * (valuation.CELL_M / 1000) ** 2
+    spot = spark.range(5000).select(F.lit(1.0).alias("e2"), F.lit(2.0).alias("n2"))
+    assert valuation._cell_width(spot) == valuation.CELL_M
