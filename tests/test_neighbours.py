@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,24 @@ def test_cells_follow_the_density_of_sales(spark):
     assert held <= 2 * valuation.CELL_SALES < 60_000 / 36 * (valuation.CELL_M / 1000) ** 2
     spot = spark.range(5000).select(F.lit(1.0).alias("e2"), F.lit(2.0).alias("n2"))
     assert valuation._cell_width(spot) == valuation.CELL_M
+
+
+def test_quantiles_in_reach_against_every_pair(spark, monkeypatch):
+    """Many blocks and chunks of a cell, missing values and points, rows at the radius itself; the plan holds no row of a pair."""
+    monkeypatch.setattr(grid, "BLOCK", 50)
+    monkeypatch.setattr(grid, "CHUNK", 4)
+    r = random.Random(3)
+    right = [(r.gauss(0, 900), r.gauss(0, 900), r.choice((None, 7.0, r.uniform(1, 900)))) for _ in range(600)] + [(500.0, 0.0, 5.0), (None, 1.0, 2.0)] + [(0.0, 0.0, 3.0)] * 300
+    left = [(f"t{i}", r.gauss(0, 1200), r.gauss(0, 1200)) for i in range(40)] + [("edge", 0.0, 0.0), ("far", 9e6, 0.0), ("none", None, 0.0)]
+    got = grid.within_quantiles(spark.createDataFrame(left, "k string, e double, n double"), spark.createDataFrame(right, "e double, n double, v double"), "k", "v", 500.0, [0.5])
+    want = {}
+    for k, e, n in left[:-1]:
+        near = [(math.sqrt((e - x) ** 2 + (n - y) ** 2), v) for x, y, v in right if x is not None]
+        near = [(d, v) for d, v in near if d <= 500.0]
+        if near:
+            known = [v for _, v in near if v is not None]
+            want[k] = (len(near), min(d for d, _ in near), statistics.median(known) if known else None)
+    found = {x.k: (x.n, x.nearest, x.q and x.q[0]) for x in got.collect()}
+    assert found.keys() == want.keys() and "edge" in want
+    off = [(k, found[k], want[k]) for k in want if found[k][0] != want[k][0] or abs(found[k][1] - want[k][1]) > 1e-9 or abs((found[k][2] or 0) - (want[k][2] or 0)) > 1e-9]
+    assert off == []
