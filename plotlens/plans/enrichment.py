@@ -9,7 +9,7 @@ from plotlens.functions import codes, geo, parcels, shape, text
 from plotlens.operators import enrichment as en
 from plotlens.operators import kinds, reports
 from plotlens.plans.views import OFFERS, TARGETS, TX, offers, plain, table, targets, transactions, view
-from plotlens.session import staged
+from plotlens.session import dealt, staged
 from plotlens.sources import details
 
 #: Strips of land, one for each nation, as layers: acts, zones, infill, floods, local acts and networks.
@@ -151,7 +151,7 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details read back from pages that hold an offer as embedded data, with a map, labels or neither."""
     c = F.col
-    rows = offers(spark, sf_dir).withColumn("k", c("offer_id") % 3)
+    rows = dealt(offers(spark, sf_dir), "offer_id").withColumn("k", c("offer_id") % 3)
     lat, lon = 54 + (c("offer_id") % 100) / 1000, 18 + (c("offer_id") % 70) / 1000
     name = F.concat(F.lit("Działka, "), F.coalesce(c("area_m2"), F.lit(0)), F.lit(" m² Lipa"))
     node = F.to_json(F.struct(F.lit("Offer").alias("@type"), F.concat(F.lit("https://x.example/dzialka-"), c("offer_id") + 10_000).alias("url"), name.alias("name"), F.concat(F.floor(c("price_grosze") / 100), F.lit(".00")).alias("price"), F.lit("<p>Teren objęty MPZP.</p><p>Prąd, gaz.</p>").alias("description")))
