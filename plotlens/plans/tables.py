@@ -15,6 +15,8 @@ from plotlens.plans.market import SALES, _sales
 from plotlens.session import shared_folder, staged
 from plotlens.sources.keyed_table import KeyedTable
 
+#: Values that a bucket of the stored medians is made for, and the fewest buckets.
+BUCKET_VALUES, LEAST_BUCKETS = 250_000, 16
 #: Ends of the first and of the second batch.
 CUTS, SALE_CUTS = ("2024-01-11", "2024-01-21"), ("1997-01-01", "2001-07-01")
 
@@ -48,12 +50,17 @@ def rebuilt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def _buckets_for(values: int) -> int:
+    """Buckets that follow the size: one is one task, whose memory must not grow with the table."""
+    return max(LEAST_BUCKETS, -(-values // BUCKET_VALUES))
+
+
 def stored_yearly_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly medians at three levels after three batches of sales, by the state that each batch brings up to date."""
     norm = price.normalised(F.col("price_m2"), F.col("area_m2").cast("double"))
     sales = staged(_sales(spark, sf_dir).select("municipality", "segment", "sale_date", F.year("sale_date").alias("year"), norm.alias("norm")), "yearly-sales")
     rows = hierarchy.at_levels(sales, "municipality")
-    kept = StoredQuantiles(spark, _folder(spark, "medians"), ["level", "area", "segment", "year"], [0.5], 16)
+    kept = StoredQuantiles(spark, _folder(spark, "medians"), ["level", "area", "segment", "year"], [0.5], _buckets_for(len(hierarchy.LEVELS) * sales.count()))
     for number, batch in enumerate(_batches(rows, "sale_date", SALE_CUTS)):
         kept.add(batch, "norm", ("sales", number))
     return kept.read().select("level", "area", "segment", "year", "n", F.round(F.col("q")[0], 6).alias("median"))
