@@ -11,6 +11,9 @@ from plotlens.plans.views import table
 from plotlens.session import shared_folder
 from plotlens.streaming import offers as s
 
+#: Events that a bucket of the change detection is made for, and the fewest buckets.
+BUCKET_EVENTS, LEAST_BUCKETS = 8192, 64
+
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
@@ -28,7 +31,8 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = run_to_end(s.detect_changes(_stream(spark, sf_dir), unseen_days=400))
+    buckets = max(LEAST_BUCKETS, -(-table(spark, sf_dir, "events").count() // BUCKET_EVENTS))
+    out = run_to_end(s.detect_changes(_stream(spark, sf_dir), unseen_days=400, buckets=buckets))
     return out.select("event_id", "change", "price", "previous")
 
 

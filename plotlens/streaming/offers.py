@@ -10,45 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CHANGES = "portal string, offer bigint, event_id bigint, ts timestamp, change string, price double, previous double"
+#: The state of a bucket of offers: a list for each field.
+BUCKET = "portal array<string>, offer array<string>, price array<double>, seen array<bigint>, active array<boolean>, expires array<bigint>"
 
 
-def detect_changes(observations: DataFrame, unseen_days: int = 14, late: str = "1 day") -> DataFrame:
+def detect_changes(observations: DataFrame, unseen_days: int = 14, late: str = "1 day", buckets: int = 64) -> DataFrame:
     """Each observation as ``new``, ``changed``, ``unchanged`` or ``reactivated``, and ``expired`` for offers unseen too long.
 
-    Reads ``portal, offer, event_id, ts, price``. The state of a key is its last price and time.
+    Reads ``portal, offer, event_id, ts, price``. The state of an offer is its last price and time.
     Rows of a batch are taken in event order; one older than the state is ``late`` and changes
     nothing. Expiry goes by event time, once the watermark has passed the last sight by so many days.
+
+    Offers are kept in ``buckets`` by hash, as a call of Python for each costs far more than its rows. A task holds a
+    bucket's state and its rows of a batch, so the number must follow the size; a checkpoint goes on with the one that it began with.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        portal, offer = key
-        out = []
-        price, seen, active = state.get if state.exists else (None, None, True)
-        if state.hasTimedOut:
-            state.update((price, seen, False))
-            yield pd.DataFrame([(portal, offer, None, pd.Timestamp(seen, unit="us"), "expired", price, price)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows.itertuples():
-            at = r.ts.value // 1000
-            if seen is not None and at < seen:
-                change = "late"
-            elif seen is None:
-                change = "new"
-            elif not active:
-                change = "reactivated"
-            else:
-                change = "unchanged" if price == r.price or (pd.isna(price) and pd.isna(r.price)) else "changed"
-            out.append((portal, offer, r.event_id, r.ts, change, r.price, None if change == "new" else price))
-            if change != "late":
-                price, seen, active = float(r.price), at, True
-        state.update((price, seen, active))
-        expires = seen // 1000 + unseen_days * 86_400_000
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    keyed = observations.withWatermark("ts", late).groupBy("portal", "offer")
-    return keyed.applyInPandasWithState(update, CHANGES, "price double, seen bigint, active boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        held = {(p, o): r for p, o, *r in zip(*state.get)} if state.exists else {}
+        watermark, out, met = state.getCurrentWatermarkMs(), [], set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            times = rows["ts"].astype("datetime64[ns]").astype("int64") // 1000
+            for portal, offer, event, ts, at, cost in zip(rows["portal"], rows["offer"], rows["event_id"], rows["ts"], times.tolist(), rows["price"].tolist()):
+                price, seen, active, _ = held.get((portal, offer), (None, None, True, None))
+                if seen is not None and at < seen:
+                    change = "late"
+                elif seen is None:
+                    change = "new"
+                elif not active:
+                    change = "reactivated"
+                else:
+                    change = "unchanged" if price == cost or (pd.isna(price) and pd.isna(cost)) else "changed"
+                out.append((portal, offer, event, ts, change, cost, None if change == "new" else price))
+                if change != "late":
+                    price, seen, active = cost, at, True
+                held[portal, offer] = price, seen, active, max(seen // 1000 + unseen_days * 86_400_000, watermark + 1)
+                met.add((portal, offer))
+        for (portal, offer), (price, seen, active, expires) in held.items():
+            if active and expires < watermark and (portal, offer) not in met:
+                out.append((portal, offer, None, pd.Timestamp(seen, unit="us"), "expired", price, price))
+                held[portal, offer] = price, seen, False, expires
+        state.update(tuple(map(list, zip(*[(*k, *v) for k, v in held.items()]))))
+        if due := [expires for _, _, active, expires in held.values() if active]:
+            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+        found = pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+        yield found.assign(offer=pd.array([None if o is None else int(o) for o in found["offer"]], "Int64"), event_id=found["event_id"].astype("Int64"))
+
+    rows = observations.withWatermark("ts", late).withColumn("offer", F.col("offer").cast("string"))  # as text: a number beside a null would lose digits
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("portal", "offer"), F.lit(buckets))).groupBy("bucket")
+    return keyed.applyInPandasWithState(update, CHANGES, BUCKET, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_counts(observations: DataFrame, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
