@@ -21,10 +21,11 @@ def references(text: Column) -> Column:
     """A struct of ``numbers`` (five at most, in order), ``precinct_no``, ``precinct_name`` and ``sure``: one number only.
 
     Each match is taken with the text around it by look-behind and look-ahead, so its context can be
-    told without positions. A number with a slash that follows a match belongs to the same set.
+    told without positions. The look-behind tries many lengths, so it is made only where a number's word begins.
+    A number with a slash that follows a match belongs to the same set.
     """
     plain = without_tags(text)
-    whole = F.lit(rf"(?iUs)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({NUMBER})(?=(.{{0,{TAIL}}}))")
+    whole = F.lit(rf"(?iUs)(?=dz)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({NUMBER})(?=(.{{0,{TAIL}}}))")
     part = lambda i: F.regexp_extract_all(plain, whole, F.lit(i))
     found = F.arrays_zip(part(1).alias("before"), part(2).alias("match"), part(3).alias("number"), part(4).alias("tail"))
     good = F.filter(found, lambda m: ~F.rlike(F.concat(m["before"], m["match"], F.substring(m["tail"], 1, BEHIND)), F.lit(TRAP)))

@@ -179,7 +179,7 @@ def plot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     k, n = c("offer_id") % 4, F.concat((c("offer_id") % 900 + 1).cast("string"), F.lit("/"), (c("offer_id") % 30 + 1).cast("string"))
     said = F.when(k == 0, F.concat(F.lit("Sprzedam dzialka nr "), n, F.lit(" obręb 36."))).when(k == 1, F.concat(F.lit("dz. nr "), n, F.lit(" oraz 12/7, obręb Kiełpino Górne"))).when(k == 2, F.concat(F.lit("dzialka ma "), c("offer_id") % 900, F.lit(" m2, <b>dzialka 900 m2</b>"))).otherwise(F.lit(None).cast("string"))
-    out = offers(spark, sf_dir).select("offer_id", parcels.references(said).alias("r"))
+    out = dealt(offers(spark, sf_dir).select("offer_id"), "offer_id").select("offer_id", parcels.references(said).alias("r"))
     return out.select("offer_id", F.array_join("r.numbers", " ").alias("numbers"), "r.precinct_no", "r.precinct_name", "r.sure")
 
 

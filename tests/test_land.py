@@ -49,6 +49,18 @@ def test_plot_numbers(spark):
     assert [r.sure for r in got] == [len(n) == 1 for n, _, _ in cases.values()]
 
 
+def test_long_texts_without_a_plot_number_are_cheap(spark):
+    """The context before a match is looked for at a number's word, not at each character: the length of a text counts once."""
+    import time
+
+    text = "Piekna okolica, cisza i spokoj. " * 4000
+    rows = spark.createDataFrame([(text * 3 + "Sprzedam dzialke nr 45/2 w obrebie 12",)], "t string")
+    rows.select(parcels.references(F.lit("dz. nr 1")).alias("r")).collect()
+    began = time.time()
+    assert rows.select(parcels.references(F.col("t")).alias("r")).first().r.numbers == ["45/2"]
+    assert time.time() - began < 5
+
+
 def test_shapes(spark):
     box = lambda w, d: [(468_000.0, 719_000.0), (468_000.0 + w, 719_000.0), (468_000.0 + w, 719_000.0 + d), (468_000.0, 719_000.0 + d), (468_000.0, 719_000.0)]
     bent = [(0.0, 0.0), (60.0, 0.0), (60.0, 10.0), (10.0, 10.0), (10.0, 60.0), (0.0, 60.0), (0.0, 0.0)]
